@@ -199,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"))
+        least = written(both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m")))  # written: see near_groups()
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u != v").distinct()
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small, "v")
@@ -214,7 +214,8 @@ def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int =
     points = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     labels = components(links(points.select("fp"), radius, first))
     classes = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    tops = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written, so that the join below has an exchange on either side and a hot label can be split
+    tops = written(classes.groupBy("label").agg(F.min("least").alias("component_id")))
     named = written(classes.join(tops, "label").select("fp", "component_id"))
     return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
