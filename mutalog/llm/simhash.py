@@ -109,13 +109,11 @@ def _tree(points: DataFrame, radius: int, depth: int) -> DataFrame:
 def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b at most radius bits apart; their first words at most first bits apart."""
     left, right = [], []
-    for i in range(0, len(a), 128):
-        for j in range(0, len(b), 4096):
-            near = np.bitwise_count(a[i : i + 128, None, 0] ^ b[None, j : j + 4096, 0]) <= first
-            if near.any():
-                x, y = np.nonzero(near)
-                left.append(x + i)
-                right.append(y + j)
+    for j in range(0, len(b), 4096):
+        x, y = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, j : j + 4096, 0]) <= first)
+        if len(x):
+            left.append(x)
+            right.append(y + j)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = np.concatenate(left), np.concatenate(right)
@@ -125,17 +123,35 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.nd
     return x, y
 
 
-def _forest(parent: list[int], x: np.ndarray, y: np.ndarray) -> None:
-    """Unites the pairs in parent (union by smaller index)."""
-    for i, j in zip(x.tolist(), y.tolist()):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        while parent[j] != j:
-            parent[j] = parent[parent[j]]
-            j = parent[j]
-        if i != j:
-            parent[max(i, j)] = min(i, j)
+class _Forest:
+    """Components over 0 .. n - 1, each labelled with its least member."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def unite(self, x: np.ndarray, y: np.ndarray) -> None:
+        a, b = self.label[x], self.label[y]
+        new = a != b
+        if not new.any():
+            return
+        n = len(self.label)
+        pairs = np.unique(np.minimum(a, b)[new] * n + np.maximum(a, b)[new])
+        top: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := top.get(i, i)) != i:
+                top[i] = top.get(up, up)
+                i = up
+            return i
+
+        for i, j in zip((pairs // n).tolist(), (pairs % n).tolist()):
+            i, j = root(i), root(j)
+            if i != j:
+                top[max(i, j)] = min(i, j)
+        to = np.arange(n)
+        for i in list(top):
+            to[i] = root(i)
+        self.label = to[self.label]
 
 
 def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
@@ -145,21 +161,12 @@ def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
     words = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
     homes = np.array([at[f] for f in pdf["fp"][pdf["side"] == 0]], np.int64)
     others = np.array([at[f] for f in pdf["fp"][pdf["side"] == 1]], np.int64)
-    parent = list(range(len(fps)))
-    for i in range(0, len(homes), 1024):
-        x, y = _close(words[homes[i : i + 1024]], words[others], radius, first)
-        x, y = homes[i + x], others[y]
-        apart_ = x != y
-        _forest(parent, x[apart_], y[apart_])
-    out_a, out_b = [], []
-    for i in range(len(fps)):
-        r = i
-        while parent[r] != r:
-            r = parent[r]
-        if r != i:
-            out_a.append(fps[i])
-            out_b.append(fps[r])
-    return pd.DataFrame({"a": out_a, "b": out_b})
+    forest, there = _Forest(len(fps)), words[others]
+    for i in range(0, len(homes), 128):
+        x, y = _close(words[homes[i : i + 128]], there, radius, first)
+        forest.unite(homes[i + x], others[y])
+    linked = np.flatnonzero(forest.label != np.arange(len(fps))).tolist()
+    return pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[i] for i in forest.label[linked].tolist()]})
 
 
 def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame:
@@ -171,7 +178,8 @@ def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame
     first = radius if first is None else first
     points = points.withColumn("w", _as_long(F.col("fp")))
     n = points.count()
-    levels = round(np.log(max(n, 1) / 8192) / np.log(5)) if first <= 6 else 1
+    # a level deals a leaf out to about 25 bands and repeats its points about 5 times
+    levels = np.ceil(np.log(max(n, 1) / 1000) / np.log(25)) if first <= 6 else 1
     rows = _tree(points, first, int(min(max(levels, 1), 5)))
     sizes = rows.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
     sizes = sizes.where("homes > 0").select("leaf", F.ceil(F.col("homes") / BLOCK).alias("hs"), F.ceil(F.col("all") / BLOCK).alias("vs"))
