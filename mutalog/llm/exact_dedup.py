@@ -62,7 +62,8 @@ def recipes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashe
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed=F.xxhash64) -> DataFrame:
     """One row per row of df: id, keep_id (smallest id of its equals), group_size, kept, text_sha256."""
     rows = written(recipes(df, id_col, text_col, hashed))
-    groups = rows.groupBy("recipe").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join has an exchange on either side and the recipe of a large group can be split
+    groups = written(rows.groupBy("recipe").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size")))
     joined = rows.join(groups, "recipe")
     kept = F.coalesce(F.col(id_col) == F.col("keep_id"), F.lit(True))
     return joined.select(id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
