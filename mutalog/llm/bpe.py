@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart
+from mutalog.llm.shared import apart, in_batches
 from mutalog.llm.tokens import default_path, vocabulary
 
 WINDOW, MASK, LEAST, MOST = 32, (1 << 9) - 1, 256, 4096
@@ -99,29 +100,29 @@ class Encoder:
         v = vocabulary(path)
         self._fast, self.special, self.bytes_of = v.fast(), set(v.special), v.bytes_of
         self._length = [len(v.bytes_of.get(i, b"")) for i in range(max(v.bytes_of) + 1)]
-        self._known: OrderedDict[bytes, list[int]] = OrderedDict()
+        self._known: OrderedDict[bytes, array] = OrderedDict()
         self._held = 0
         self.encoded_bytes = self.reused_bytes = 0
 
     def _plain(self, data: bytes) -> list[int]:
         return self._fast.encode(data.decode("utf-8"), allowed_special=self.special)
 
-    def _chunk(self, data: bytes) -> list[int]:
+    def _chunk(self, data: bytes) -> array:
         ids = self._known.get(data)
         if ids is not None:
             self._known.move_to_end(data)
             self.reused_bytes += len(data)
             return ids
-        ids = self._known[data] = self._plain(data)
+        ids = self._known[data] = array("i", self._plain(data))
         self.encoded_bytes += len(data)
         self._held += len(data)
         while self._held > REMEMBERED:
             self._held -= len(self._known.popitem(last=False)[0])
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         data = text.encode("utf-8")
-        out: list[int] = []
+        out = array("i")
         done = start = 0  # ids up to byte done are final, and done is a sure boundary
         for end in cuts(data):
             ids = self._chunk(data[start:end])
@@ -131,15 +132,15 @@ class Encoder:
                 a, b = self._inside(ids, first - start), len(ids) - self._inside(ids[::-1], end - last)
                 if a >= 0 and b <= len(ids):  # both encodings have a token boundary there
                     if done < first:
-                        out += self._plain(data[done:first])
+                        out.extend(self._plain(data[done:first]))
                     out += ids[a:b]
                     done = last
             start = end
         if done < len(data):
-            out += self._plain(data[done:])
+            out.extend(self._plain(data[done:]))
         return out
 
-    def _inside(self, ids: list[int], size: int) -> int:
+    def _inside(self, ids: array, size: int) -> int:
         """How many of the ids have exactly size bytes together; -1 if size falls into a token."""
         k = 0
         while size > 0:
@@ -163,7 +164,7 @@ class Encoder:
             p = data.rfind(b" ", a + 1, p)
         return p
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
@@ -180,10 +181,10 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = pa.array((e.encode(x.as_py() or "") for x in b.column(text_col)), pa.list_(pa.int32()))
+            ids = pa.array(([*e.encode(x.as_py() or "")] for x in b.column(text_col)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "token_ids"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return in_batches(df, run, T.StructType([*df.schema, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -197,7 +198,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -
             texts = pa.array((e.decode(x.as_py() or []) for x in b.column(ids_col)), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("decoded", T.StringType())]))
+    return in_batches(df, run, T.StructType([*df.schema, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -220,4 +221,4 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -
                 text_sha.append(sha(e.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart
+from mutalog.llm.shared import apart, in_batches
 
 #: Rows of the two samples; their features (a few numbers a row) are all that reaches the driver.
 POSITIVES, UNLABELLED = 8_000, 16_000
@@ -157,7 +157,7 @@ def _features_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
             made = [features(t.as_py() or "") for t in b.column(text_col)]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(made, pa.list_(pa.float64()))], ["id", "x"])
 
-    rows = texts.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
+    rows = in_batches(texts, run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
     rows.sort(key=lambda r: (r.id, r.x))
     return np.array([r.x for r in rows]).reshape(len(rows), len(NAMES))
 
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             x = np.array([features(t.as_py() or "") for t in b.column(text_col)]).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(model.score(x))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             x = np.array([features(t.as_py() or "") for t in b.column(text_col)]).reshape(b.num_rows, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: workers hold a few at a time, whatever the length of the texts.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow() with batches of at most BATCH_BYTES (or one row), set in the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mutalog.llm.bpe import SLICE, _powers, rolling
-from mutalog.llm.shared import apart, written
+from mutalog.llm.shared import apart, in_batches, written
 
 LENGTH, GRAM = 400, 64
 #: Grams in a window.
@@ -224,7 +224,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(_ID).take(take), b.column("th").take(take), pa.array(first), pa.array(starts.astype(np.int32)), pa.array(anchor), pa.array(gram.view(np.int64))], names)
 
     kind = texts.schema[_ID].dataType
-    return texts.mapInArrow(run, T.StructType([T.StructField(_ID, kind), *(T.StructField(n, T.IntegerType() if n == "starts" else T.LongType()) for n in names[1:])]))
+    return in_batches(texts, run, T.StructType([T.StructField(_ID, kind), *(T.StructField(n, T.IntegerType() if n == "starts" else T.LongType()) for n in names[1:])]))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _packed(texts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(_ID), b.column("th"), pa.array([pack.compress((t.as_py() or "").encode("utf-8")) for t in b.column("text")], pa.binary())], [_ID, "th", "packed"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema[_ID], texts.schema["th"], T.StructField("packed", T.BinaryType())]))
+    return in_batches(texts, run, T.StructType([texts.schema[_ID], texts.schema["th"], T.StructField("packed", T.BinaryType())]))
 
 
 def _context_rows(docs: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _context_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(_ID).take(take), b.column("th").take(take), *(pa.array(c, k) for c, k in zip(out[2:], kinds))], names)
 
     schema = T.StructType([docs.schema[_ID], docs.schema["th"], T.StructField("first", T.LongType()), T.StructField("starts", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("kind", T.BinaryType()), T.StructField("context", T.BinaryType())])
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
         if held and (made := solve(held)):
             yield made
 
-    return rows.mapInArrow(run, "kind binary, runs array<struct<a:int,b:int>>")
+    return in_batches(rows, run, "kind binary, runs array<struct<a:int,b:int>>")
 
 
 def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -333,7 +333,7 @@ def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
             arrays = [b.column(_ID), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])]
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(out[4])] if keep_text else [])], [_ID, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[_ID], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *more]))
+    return in_batches(docs, run, T.StructType([docs.schema[_ID], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *more]))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -343,7 +343,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     me = [F.coalesce(_ID, F.lit(0)).alias("k"), F.col(_ID).isNull().alias("none"), "th"]
     key = ["k", "none", "th"]
     found = written(_anchor_rows(texts))
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join has an exchange on either side and a gram with many anchors can be split
+    grams = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     open_ = found.join(grams, "gram", "left_semi")
     # a row that is there twice lists its anchors twice: once is enough here, both rows ask
     open_ = open_.select(*me, F.struct("first", "starts", "anchor", "gram").alias("a")).groupBy(*key).agg(F.collect_set("a").alias("found"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart
+from mutalog.llm.shared import apart, in_batches
 from mutalog.llm.tokens import default_path, vocabulary
 
 #: Pre-tokens whose counts a worker remembers; when full, it starts anew.
@@ -151,7 +151,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", limit: int = 512, path:
             size = pc.cast(pc.fill_null(pc.binary_length(b.column(text_col)), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), size, n, pc.greater(n, limit)], [*kept, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def prefix_tables(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def prefix_tables(df: DataFrame, text_col: str = "text", path: str | None = None
                 row = b.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([c.prefixes(t)], pa.list_(pa.int64()))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def truncated(tables: DataFrame, budget: int, text_col: str = "text") -> DataFrame:
