@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart, written
+from mutalog.llm.shared import apart, in_batches, written
 
-#: Fingerprints that a leaf compares at once; larger leaves are dealt out in blocks of this size.
-BLOCK = 24_576
+#: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
+HOMES, VISITORS = 24_576, 131_072
 #: Width of a node's bands of distance.
 BAND = 2
 #: Shingles whose bits are counted at once.
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = pa.array((fingerprint(t.as_py() or "", shingle, words64) for t in b.column(text_col)), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(id_col), fp], schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return in_batches(df.select(id_col, text_col), run, schema)
 
 
 def _as_long(fp: Column) -> Column:
@@ -108,17 +108,24 @@ def _tree(points: DataFrame, radius: int, depth: int) -> DataFrame:
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b at most radius bits apart; their first words at most first bits apart."""
-    left, right = [], []
-    for j in range(0, len(b), 4096):
-        x, y = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, j : j + 4096, 0]) <= first)
-        if len(x):
-            left.append(x)
-            right.append(y + j)
+    left, right, width = [], [], 4096
+    differ, bits, near = (np.empty((len(a), width), t) for t in (np.uint64, np.uint8, bool))
+    x0, b0 = np.ascontiguousarray(a[:, 0])[:, None], np.ascontiguousarray(b[:, 0])
+    for j in range(0, len(b), width):
+        y = b0[None, j : j + width]
+        n = y.shape[1]
+        np.bitwise_xor(x0, y, out=differ[:, :n])
+        np.bitwise_count(differ[:, :n], out=bits[:, :n])
+        np.less_equal(bits[:, :n], first, out=near[:, :n])
+        at = np.flatnonzero(near[:, :n])
+        if len(at):
+            left.append(at // n)
+            right.append(at % n + j)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = np.concatenate(left), np.concatenate(right)
     if a.shape[1] > 1:
-        keep = np.concatenate([np.bitwise_count(a[x[k : k + 65536]] ^ b[y[k : k + 65536]]).sum(1, dtype=np.int64) <= radius for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+        keep = np.concatenate([np.bitwise_count(a[x[k : k + 65536]] ^ b[y[k : k + 65536]]).sum(1, dtype=np.int64) <= radius for k in range(0, len(x), 65536)])
         x, y = x[keep], y[keep]
     return x, y
 
@@ -182,7 +189,7 @@ def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame
     levels = np.ceil(np.log(max(n, 1) / 1000) / np.log(25)) if first <= 6 else 1
     rows = _tree(points, first, int(min(max(levels, 1), 5)))
     sizes = rows.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
-    sizes = sizes.where("homes > 0").select("leaf", F.ceil(F.col("homes") / BLOCK).alias("hs"), F.ceil(F.col("all") / BLOCK).alias("vs"))
+    sizes = sizes.where("homes > 0").select("leaf", F.ceil(F.col("homes") / HOMES).alias("hs"), F.ceil(F.col("all") / VISITORS).alias("vs"))
     rows = rows.join(sizes, "leaf")
     mine = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
