@@ -79,6 +79,38 @@ def ordered(entries: DataFrame, descending: bool = False) -> DataFrame:
     return entries.orderBy(F.desc("key") if descending else F.asc("key"))
 
 
+#: Ranges that ranked() cuts the keys into, and keys that it draws to place the cuts.
+RANGES, DRAWN = 64, 4096
+
+
+def _place(cuts: list, first: int = 0) -> Column:
+    """How many of the ascending cuts are not above key, by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(F.col("key") < F.lit(cuts[mid]), _place(cuts[:mid], first)).otherwise(_place(cuts[mid + 1 :], first + mid + 1))
+
+
+def ranked(entries: DataFrame, descending: bool = False) -> DataFrame:
+    """entries (unique keys) with pos, the place of each in key order, from 1.
+
+    No task sees all entries: rows are numbered inside RANGES ranges of keys, and
+    the sizes of the ranges before are added. Cuts come from the keys of the
+    least hashes, so every evaluation places them alike.
+    """
+    drawn = [r.key for r in entries.select("key").orderBy(F.xxhash64("key"), "key").limit(DRAWN).collect()]
+    drawn.sort()
+    cuts = sorted({drawn[len(drawn) * i // RANGES] for i in range(1, RANGES)}) if drawn else []
+    placed = entries.withColumn("__range", _place(cuts))
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    before, at = [0] * (len(cuts) + 1), 0
+    for i in sorted(range(len(before)), reverse=descending):
+        before[i], at = at, at + sizes.get(i, 0)
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("key") if descending else F.asc("key")))
+    offset = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("__range") + 1)
+    return placed.withColumn("pos", inside + offset).drop("__range")
+
+
 def ceiling(log: DataFrame, low, now: datetime | None = None) -> DataFrame:
     """The first visible entry with key >= low (TakeOrderedAndProject: no full sort)."""
     return scan(log, low, None, now).orderBy("key").limit(1)

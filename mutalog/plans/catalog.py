@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalog.functions.codec import component_bounds, encode, padded_key
@@ -51,9 +51,7 @@ def _multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rank(df: DataFrame, descending: bool) -> DataFrame:
-    # the state has one row a key; positions come from one ordered pass over it
-    order = F.desc("key") if descending else F.asc("key")
-    return df.select(F.row_number().over(Window.orderBy(order)).cast("bigint").alias("pos"), "key", "value")
+    return resolve.ranked(df, descending).select("pos", "key", "value")
 
 
 def _gen_merge(log: DataFrame) -> DataFrame:

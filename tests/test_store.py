@@ -162,6 +162,16 @@ def test_partial_compaction_keeps_deletes(spark):
     assert merged.count() == 4
 
 
+def test_ranked(spark):
+    keys = [bytearray(random.Random(i).randbytes(i % 5)) for i in range(300)]
+    entries = spark.createDataFrame([(k,) for k in keys], "key binary").distinct()
+    want = [bytes(k) for k in sorted({bytes(k) for k in keys})]
+    for descending in (False, True):
+        got = sorted((r.pos, bytes(r.key)) for r in resolve.ranked(entries, descending).collect())
+        assert got == [(i + 1, k) for i, k in enumerate(reversed(want) if descending else want)]
+    assert resolve.ranked(entries.where("false")).count() == 0
+
+
 def test_prefixes():
     assert prefix_bounds(b"ab") == (b"ab", b"ac")
     assert prefix_bounds(b"a\xff\xff") == (b"a\xff\xff", b"b")
