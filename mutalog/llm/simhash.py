@@ -1,18 +1,22 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
 Fingerprints are computed where the texts are read. Distinct fingerprints are
-then placed in a vantage-point tree: each node has a vantage fingerprint (a hash
+then placed in vantage-point trees: each node has a vantage fingerprint (a hash
 of the node's path, so nothing is sampled or sent around) and splits by distance
-to it into bands. A fingerprint lives in one leaf, and by the triangle
+to it into bands. A fingerprint lives in one leaf of a tree, and by the triangle
 inequality can only be linked to fingerprints in bands within the radius of its
 own distance; it visits the leaves of those bands. Each leaf compares what lives
 there with what visits, exactly, and returns a spanning forest of the links, not
 the pairs. Connected components follow by alternating star joins.
 
-Around a random vantage most fingerprints have nearly the same distance, so the
-bounds prune by a constant factor per level and not more: with radius 4 and two
-levels about 0.4 of all pairs are compared, with a wide radius nearly all. The
-comparison is an exclusive-or and a bit count on blocks.
+Around a vantage most fingerprints have nearly the same distance, so over all 64
+bits the bounds would prune by a constant factor and not more. A small radius r
+therefore gets a forest: the bits are dealt into m blocks, and a tree measures
+distance in m - r of them. Two fingerprints at most r bits apart agree in some
+m - r blocks, so they are at distance 0 there: in that tree the bounds are tight,
+nothing overlaps, and the pair meets in a leaf. With r = 4 and m = 5 about a
+thousandth of all pairs is compared; m grows with the input. Leaves compare full
+fingerprints. A wide radius has one tree, whose bounds prune little.
 
 Defined results: a null text is an empty one, fingerprint zero; rows without an
 id take part, and a component without any id has none; repeated rows share all;
@@ -21,6 +25,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +41,14 @@ from mutalog.llm.shared import apart, in_batches, written
 
 #: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
 HOMES, VISITORS = 24_576, 131_072
-#: Width of a node's bands of distance.
+#: Width of a node's bands of distance in the one tree of a wide radius.
 BAND = 2
+#: Widest radius that gets a forest; most trees of one.
+NARROW, TREES = 6, 128
+#: Leaves that are one unit each are dealt out together, about so many fingerprints to a task's group.
+GROUP = 20_000
+#: Pairs that a task holds at once before it unites them.
+PAIRS = 1 << 21
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 16
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -87,28 +99,56 @@ def _as_long(fp: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-def _tree(points: DataFrame, radius: int, depth: int) -> DataFrame:
-    """points (fp, w) as (leaf, fp, home): where each lives and which leaves it visits.
+def _blocks(radius: int, n: int) -> int:
+    """Blocks of bits that cost least for n fingerprints: moving one into another tree costs about 4,000 comparisons."""
+
+    def cost(m: int) -> float:
+        return math.comb(m, radius) * (4_000 + n / 2.0 ** (64 * (m - radius) / m))
+
+    return min((m for m in range(radius + 1, 33) if math.comb(m, radius) <= TREES), key=cost)
+
+
+def _masks(radius: int, blocks: int) -> list[int]:
+    """The bits that each tree of a forest measures, as signed longs: every choice of all blocks but radius."""
+    edge = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
+    chosen = [sum(c) for c in itertools.combinations(bits, blocks - radius)]
+    return [x - (1 << 64) if x >> 63 else x for x in chosen]
+
+
+def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
+    """points (fp, w) as (leaf, fp, home): each lives in one leaf of every tree.
+
+    Distances are exact bands here, as a linked pair has distance 0 in some
+    tree. Leaves are told apart by a hash of their path; two under one hash are
+    compared as one.
+    """
+    masks = _masks(radius, _blocks(radius, n))
+    rows = points.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
+    rows = rows.withColumn("leaf", F.xxhash64("mask"))
+    # a level tells apart by a factor of about 4, until the bits are used up
+    for level in range(max(1, min(math.ceil(math.log(max(n, 1) / 100, 4)) if n > 100 else 1, 12))):
+        d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")).bitwiseAND(F.col("mask")))
+        rows = rows.withColumn("leaf", F.xxhash64("leaf", d))
+    return rows.select("leaf", "fp", F.lit(True).alias("home"))
+
+
+def _tree(points: DataFrame, radius: int) -> DataFrame:
+    """points (fp, w) as (leaf, fp, home): where each lives and which leaves it visits, for a wide radius.
 
     Where two fingerprints part, the one in the lower band visits the higher
     one's, so a pair meets in one leaf only.
     """
-    rows = points.withColumns({"leaf": F.lit(""), "home": F.lit(True)})
-    top = 64 // BAND
-    for level in range(depth):
-        d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")))
-        band = lambda x: F.floor(x / BAND).cast("int")
-        own = band(F.col("d"))
-        first = F.when(F.col("home"), own).otherwise(band(F.greatest(F.col("d") - radius, F.lit(0))))
-        last = F.least(band(F.col("d") + radius), F.lit(top))
-        rows = rows.withColumn("d", d).withColumn("own", own).withColumn("b", F.explode(F.sequence(first, last)))
-        rows = rows.select("fp", "w", F.concat("leaf", F.lit("/"), F.col("b").cast("string")).alias("leaf"), (F.col("home") & (F.col("b") == F.col("own"))).alias("home"))
-    return rows.select("leaf", "fp", "home")
+    d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit("vantage 0"), F.lit(""))))
+    band = lambda x: F.floor(x / BAND).cast("int")
+    last = F.least(band(F.col("d") + radius), F.lit(64 // BAND))
+    rows = points.withColumn("d", d).withColumn("own", band(F.col("d"))).withColumn("b", F.explode(F.sequence(F.col("own"), last)))
+    return rows.select(F.col("b").cast("long").alias("leaf"), "fp", (F.col("b") == F.col("own")).alias("home"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b at most radius bits apart; their first words at most first bits apart."""
-    left, right, width = [], [], 4096
+    left, right, width = [], [], max(1, min(4096, len(b)))
     differ, bits, near = (np.empty((len(a), width), t) for t in (np.uint64, np.uint8, bool))
     x0, b0 = np.ascontiguousarray(a[:, 0])[:, None], np.ascontiguousarray(b[:, 0])
     for j in range(0, len(b), width):
@@ -162,16 +202,31 @@ class _Forest:
 
 
 def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
-    """A unit of one leaf: its homes (side 0) with a block of what may be linked to them (side 1), as star links."""
+    """Units of leaves: the homes of each (side 0) with a block of what may be linked to them (side 1; none: the homes), as star links."""
     fps = list(dict.fromkeys(pdf["fp"]))
     at = {f: i for i, f in enumerate(fps)}
     words = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-    homes = np.array([at[f] for f in pdf["fp"][pdf["side"] == 0]], np.int64)
-    others = np.array([at[f] for f in pdf["fp"][pdf["side"] == 1]], np.int64)
-    forest, there = _Forest(len(fps)), words[others]
-    for i in range(0, len(homes), 128):
-        x, y = _close(words[homes[i : i + 128]], there, radius, first)
-        forest.unite(homes[i + x], others[y])
+    node = np.fromiter(map(at.__getitem__, pdf["fp"]), np.int64, len(pdf))
+    leaf, side = pdf["leaf"].to_numpy(), pdf["side"].to_numpy()
+    order = np.lexsort((side, leaf))
+    node, leaf, side = node[order], leaf[order], side[order]
+    head = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+    forest, left, right, held = _Forest(len(fps)), [], [], 0
+    for a, z in zip(head.tolist(), [*head[1:].tolist(), len(leaf)]):
+        split = a + int(np.searchsorted(side[a:z], 1))
+        homes, others = node[a:split], node[split:z] if split < z else node[a:split]
+        there = words[others]
+        step = max(16, min(128, PAIRS // max(len(others), 1)))
+        for i in range(0, len(homes), step):
+            x, y = _close(words[homes[i : i + step]], there, radius, first)
+            left.append(homes[i + x])
+            right.append(others[y])
+            held += len(x)
+            if held > PAIRS:
+                forest.unite(np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+    if held:
+        forest.unite(np.concatenate(left), np.concatenate(right))
     linked = np.flatnonzero(forest.label != np.arange(len(fps))).tolist()
     return pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[i] for i in forest.label[linked].tolist()]})
 
@@ -180,22 +235,29 @@ def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame
     """Links (a, b) whose components are those of all pairs of fp at most radius bits apart.
 
     points: distinct fp. first: bits that the first 64 may differ, if the
-    fingerprints are longer; the tree looks at these alone.
+    fingerprints are longer; the trees look at these alone.
     """
     first = radius if first is None else first
     points = points.withColumn("w", _as_long(F.col("fp")))
     n = points.count()
-    # a level deals a leaf out to about 25 bands and repeats its points about 5 times
-    levels = np.ceil(np.log(max(n, 1) / 1000) / np.log(25)) if first <= 6 else 1
-    rows = _tree(points, first, int(min(max(levels, 1), 5)))
+    rows = _forest(points, first, n) if first <= NARROW else _tree(points, first)
     sizes = rows.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
+    if first <= NARROW:
+        # the leaves below HOMES share groups, and their homes are all that they are compared with
+        sizes = written(sizes.where(F.col("all") > HOMES))
+        groups = max(1, math.ceil(n * len(_masks(first, _blocks(first, n))) / GROUP))
+        apiece = [F.lit(-1).cast("long").alias(c) for c in ("h", "v")]
+        small = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(F.pmod("leaf", F.lit(groups)).alias("unit"), *apiece, "leaf", "fp", F.lit(0).alias("side"))
     sizes = sizes.where("homes > 0").select("leaf", F.ceil(F.col("homes") / HOMES).alias("hs"), F.ceil(F.col("all") / VISITORS).alias("vs"))
     rows = rows.join(sizes, "leaf")
     mine = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    homes = rows.where("home").select("leaf", mine("hs").alias("h"), every("vs").alias("v"), "fp", F.lit(0).alias("side"))
-    others = rows.select("leaf", every("hs").alias("h"), mine("vs").alias("v"), "fp", F.lit(1).alias("side"))
-    return homes.unionByName(others).groupBy("leaf", "h", "v").applyInPandas(lambda pdf: _compare(pdf, radius, first), "a binary, b binary")
+    homes = rows.where("home").select(F.col("leaf").alias("unit"), mine("hs").alias("h"), every("vs").alias("v"), "leaf", "fp", F.lit(0).alias("side"))
+    others = rows.select(F.col("leaf").alias("unit"), every("hs").alias("h"), mine("vs").alias("v"), "leaf", "fp", F.lit(1).alias("side"))
+    units = homes.unionByName(others)
+    if first <= NARROW:
+        units = units.unionByName(small)
+    return units.groupBy("unit", "h", "v").applyInPandas(lambda pdf: _compare(pdf, radius, first), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -130,6 +130,33 @@ def test_links_of_dense_clusters(spark, words64, radius, first):
             assert (root(a) == root(b)) == (member(prints[a]) == member(prints[b]))
 
 
+def test_forests_miss_no_pair():
+    """Whatever r bits differ, some tree of the forest measures none of them."""
+    rnd = random.Random(2)
+    for radius, n in [(0, 10), (1, 10**4), (2, 10**9), (4, 10**3), (4, 10**8), (4, 10**11), (6, 10**6)]:
+        masks = simhash._masks(radius, simhash._blocks(radius, n))
+        assert len(masks) <= simhash.TREES
+        for _ in range(300):
+            gone = sum({1 << rnd.randrange(64) for _ in range(radius)})
+            assert any(not m & gone for m in masks)
+    assert simhash._blocks(4, 10**6) < simhash._blocks(4, 10**9)
+
+
+@pytest.mark.parametrize("homes", [20, 24_576])
+def test_large_leaves(spark, monkeypatch, homes):
+    """Leaves above HOMES are compared in blocks: the same links."""
+    monkeypatch.setattr(simhash, "HOMES", homes)
+    monkeypatch.setattr(simhash, "VISITORS", 2 * homes)
+    rnd = random.Random(4)
+    bases = [rnd.getrandbits(64) for _ in range(3)]
+    near = {b ^ sum({1 << rnd.randrange(64) for _ in range(rnd.randint(0, 3))}) for b in bases for _ in range(80)}
+    prints = dict(enumerate(sorted(near)))
+    want = brute_components(prints, 4)
+    points = spark.createDataFrame([(bytearray(p.to_bytes(8, "big")),) for p in prints.values()], "fp binary")
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.label, "big") for r in simhash.components(simhash.links(points, 4)).collect()}
+    assert {p: got.get(p, p) for p in prints.values()} == {prints[i]: prints[want[i]] for i in prints}
+
+
 def test_near_dedup(spark):
     rnd = random.Random(1)
     text = lambda n: [rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(n)]
