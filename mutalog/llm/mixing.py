@@ -59,35 +59,36 @@ def rake(cells: DataFrame, temperature: float, iterations: int, targets: dict[st
             t = targets[m].select(F.col(m).alias("__k"), F.col("share").alias(f"__t_{m}"))
             cells = cells.join(t, F.col(m).eqNullSafe(F.col("__k")), "left").drop("__k").fillna(0.0, [f"__t_{m}"])
         else:
-            inside = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
-            cells = cells.withColumn("__own", F.pow(inside, F.lit(temperature)))
-            first = F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1
-            cells = cells.withColumn("__first", F.when(first, F.col("__own")).otherwise(0.0))
-            cells = cells.withColumn(f"__t_{m}", F.col("__own") / F.sum("__first").over(Window.partitionBy()))
+            inside = F.pow(F.sum("tokens").over(Window.partitionBy(m)).cast("double"), F.lit(temperature))
+            of_all = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temperature)).alias("x")).agg(F.sum("x")).first()[0]
+            cells = cells.withColumn(f"__t_{m}", inside / F.lit(of_all))
         shares.append(f"__t_{m}")
-    cells = cells.withColumn("__all", F.sum("tokens").over(Window.partitionBy()).cast("double")).withColumn("weight", F.col("tokens").cast("double"))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(iterations):
         for m in MARGINS:
             have = F.sum("weight").over(Window.partitionBy(m))
-            cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"__t_{m}") * F.col("__all") / have).otherwise(0.0))
-    return cells.drop("__own", "__first", *shares)
+            cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"__t_{m}") * F.lit(total) / have).otherwise(0.0))
+    return cells.drop(*shares)
 
 
 def probabilities(cells: DataFrame, rate: float) -> DataFrame:
     """cells with p = min(1, c * weight / tokens), where c makes the expected tokens rate * all.
 
-    Cells in falling order of weight / tokens: the first k are clipped at 1, k being the least for which the next one is not above 1.
+    c grows from the unclipped solution: what it clips counts in full, the rest
+    shares what is left, until nothing new is clipped. Each round is one sum
+    over the cells, so no task orders them.
     """
-    cells = cells.withColumn("__f", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    by = Window.orderBy(F.desc("__f"), *MARGINS)
-    clipped = F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    c = F.when(rest > 0, (F.lit(rate) * F.col("__all") - clipped) / rest)
-    cells = cells.withColumn("__c", c)
-    fits = F.when((F.col("__c") * F.col("__f") <= 1) & (F.col("__c") >= 0), F.col("__c"))
-    cells = cells.withColumn("__c", F.max(fits).over(Window.partitionBy()))
-    p = F.when(F.col("__c").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("__c") * F.col("__f")))
-    return cells.withColumn("p", F.when(F.col("tokens") > 0, p).otherwise(1.0)).drop("__f", "__c", "__all")
+    f = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    total, c, before = float(cells.agg(F.sum("tokens")).first()[0] or 0), 0.0, -1
+    while c is not None:
+        over = F.lit(c) * f > 1
+        n, clipped, rest = cells.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.lit(0.0))).first()
+        if n == before:
+            break
+        before, c = n, (rate * total - clipped) / rest if rest > 0 else None
+    p = F.lit(1.0) if c is None else F.least(F.lit(1.0), F.lit(c) * f)
+    return cells.withColumn("p", F.when(F.col("tokens") > 0, p).otherwise(1.0))
 
 
 def draw(id_col: str, text_col: str, seed: int) -> Column:
@@ -102,9 +103,9 @@ def with_probabilities(df: DataFrame, temperature: float = 0.7, rate: float = 0.
     rows = described(df, text_col)
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     few = cells.count() <= CELLS
-    if few:  # one partition satisfies every window, so raking shuffles nothing
+    if few:  # one partition satisfies every window, so raking shuffles nothing; else margins are shuffled on
         cells = cells.coalesce(1)
-    made = written(probabilities(rake(cells, temperature, iterations, targets), rate))
+    made = written(probabilities(written(rake(cells, temperature, iterations, targets)), rate))
     made = made.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "p")
     same = [F.col(m).eqNullSafe(F.col(f"__{m}")) for m in MARGINS]
     return rows.join(F.broadcast(made) if few else made, same[0] & same[1] & same[2]).drop(*(f"__{m}" for m in MARGINS))

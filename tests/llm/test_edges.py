@@ -285,6 +285,22 @@ def test_raking_meets_its_targets(spark, docs):
     assert sum(r.tokens * r.p for r in p) == pytest.approx(0.4 * total) and max(r.p for r in p) <= 1
 
 
+def test_clipping_meets_the_rate(spark):
+    """Cells that would be drawn more than once are kept whole, the others make up the rest; many cells are joined by shuffles."""
+    cells = [(str(i), "x", "p", 10, w) for i, w in enumerate((1.0, 2.0, 5.0, 30.0, 200.0, 0.0))]
+    df = spark.createDataFrame([*cells, ("none", "x", "p", 0, 0.0)], "source string, lang string, topic string, tokens long, weight double")
+    p = {r.source: r.p for r in mixing.probabilities(df, 0.5).collect()}
+    assert p["4"] == p["3"] == p["none"] == 1 and p["5"] == 0 and sum(p[s] * 10 for s in "012345") == pytest.approx(30)
+    assert p["0"] * 5 == pytest.approx(p["2"])
+    assert {r.p for r in mixing.probabilities(df, 1.0).where("tokens > 0 and weight > 0").collect()} == {1.0}
+
+
+def test_many_cells(docs, monkeypatch):
+    want = rows(mixing.mix(docs), "doc_id", "p", "kept")
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    assert [(d, round(p, 9), k) for d, p, k in rows(mixing.mix(docs), "doc_id", "p", "kept")] == [(d, round(p, 9), k) for d, p, k in want]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 40, 41, 1000])
 def test_permutation(spark, n):
     df = spark.range(n).select(sharding.permuted(F.col("id"), F.lit(n).cast("long"), 3).alias("p"))
