@@ -31,7 +31,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(_documents(spark, sf_dir, "doc_id", "text"))
+    return simhash.near_groups(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart, in_batches, written
+from mutalog.llm.shared import apart, in_batches, text_of, written
 
 #: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
 HOMES, VISITORS = 24_576, 131_072
@@ -54,22 +54,28 @@ SHINGLES = 1 << 16
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def fingerprint(text: str, shingle: int, words64: int) -> bytes:
-    """Big-endian fingerprint of 64 * words64 bits: bit b is set if it is set in over half the hashes.
-
-    Later words take further hashes that are mixed from the first one.
-    """
+def _hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, in order, in arrays of at most SHINGLES; none for a text without words."""
     words = text.encode("utf-8").lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
-        return bytes(8 * words64)
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
-    stops = ends[k - 1 :].tolist()
-    ones, digest = np.zeros((words64, 64), np.int64), xxhash.xxh64_intdigest
+    stops, digest = ends[k - 1 :].tolist(), xxhash.xxh64_intdigest
     for at in range(0, len(starts), SHINGLES):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + SHINGLES], stops[at : at + SHINGLES])], np.uint64)
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + SHINGLES], stops[at : at + SHINGLES])], np.uint64)
+
+
+def fingerprint(text: str, shingle: int, words64: int) -> bytes:
+    """Big-endian fingerprint of 64 * words64 bits: bit b is set if it is set in over half the hashes.
+
+    Later words take further hashes that are mixed from the first one.
+    """
+    ones, n = np.zeros((words64, 64), np.int64), 0
+    for h in _hashes(text, shingle):
+        n += len(h)
         for w in range(words64):
             x = h
             if w:
@@ -78,19 +84,19 @@ def fingerprint(text: str, shingle: int, words64: int) -> bytes:
                 x *= np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
             ones[w] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(starts), axis=1).tobytes()
+    return np.packbits(2 * ones > n, axis=1).tobytes()
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1) -> DataFrame:
-    """id and fp (binary) of each row."""
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType())])
+    """id, fp (binary) and n_bytes (of the text) of each row."""
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array((fingerprint(t.as_py() or "", shingle, words64) for t in b.column(text_col)), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), fp], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), fp, b.column("n_bytes")], schema.names)
 
-    return in_batches(df.select(id_col, text_col), run, schema)
+    return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
 
 
 def _as_long(fp: Column) -> Column:
@@ -286,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to."""
+    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to, n_bytes of the text."""
     prints = written(fingerprints(df, id_col, text_col, shingle, words64))
     points = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     labels = components(links(points.select("fp"), radius, first))
@@ -294,17 +300,98 @@ def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int =
     # written, so that the join below has an exchange on either side and a hot label can be split
     tops = written(classes.groupBy("label").agg(F.min("least").alias("component_id")))
     named = written(classes.join(tops, "label").select("fp", "component_id"))
-    return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_bytes")
 
 
 #: Words of a shingle, 64-bit words of a fingerprint, bits that may differ over all and in the first word, for texts alike in 0.8 of their shingles.
-#: Two such texts differ in each bit with odds of acos(0.8 / 0.9) / pi = 0.15, that is 38.8 of 256 bits (deviation 5.7).
-PIPELINE = {"shingle": 5, "words64": 4, "radius": 46, "first": 18}
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one row of each group of near-duplicates: the one with the least id. Rows without an id stay."""
+#: Two such texts differ in each bit with odds of acos(0.8 / 0.9) / pi = 0.15, that is in 38.8 of 256 bits (deviation 6) and 9.7 of 64
+#: (deviation 3): the radii are over three deviations wider, and what they let in too much is told apart by the shingles themselves.
+PIPELINE = {"shingle": 5, "words64": 4, "radius": 60, "first": 19}
+#: Least similarity of near-duplicates: shingles in both texts over shingles in either.
+ALIKE = 0.8
+#: A group of candidates above ROWS or BLOCK_BYTES of text is compared block by block: up to BLOCKS of them, then more of at most BLOCK_ROWS. Smaller groups share units of about ROWS.
+ROWS, BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 256, 8, 2048, 4 << 20
+#: Columns of the matrix of rows and shingles that are multiplied at once.
+COLUMNS = 4096
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each set of b; sets are arrays without repeats."""
+    same = a is b
+    sets = a if same else a + b
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    found, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # what one set alone has is not multiplied
+    keep = times[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[row[i:j], column[i:j] - at] = 1
+        out += ones[: len(a)] @ (ones if same else ones[len(a) :]).T
+    return out
+
+
+def _alike(pdf: pd.DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> pd.DataFrame:
+    """Star links (a, b) whose components are those of all pairs of a group's home rows (side 0) with its others (side 1; none: the homes) that are alike."""
+    ids = list(dict.fromkeys(pdf[id_col]))
+    at = {d: i for i, d in enumerate(ids)}
+    forest = _Forest(len(ids))
+    for _, rows in pdf.groupby("group", sort=False):
+        node = np.fromiter(map(at.__getitem__, rows[id_col]), np.int64, len(rows))
+        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(t or "", shingle)])) for t in rows[text_col]]
+        side = rows["side"].to_numpy()
+        home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(other):
+            other = home
+        a = [sets[i] for i in home]
+        b = a if other is home else [sets[i] for i in other]
+        size = np.array([len(x) for x in sets])
+        both, whole = _shared(a, b).astype(np.float64), size[home][:, None] + size[other][None, :]
+        x, y = np.nonzero(both * (1 + least) + 1e-9 >= least * whole)  # both / (whole - both) >= least; two empty texts are alike
+        forest.unite(node[home[x]], node[other[y]])
+    linked = np.flatnonzero(forest.label != np.arange(len(ids))).tolist()
+    return pd.DataFrame({"a": [ids[i] for i in linked], "b": [ids[i] for i in forest.label[linked].tolist()]})
+
+
+def alike(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of rows in a group whose texts are alike in at least so many of their shingles.
+
+    groups: id, component_id, n_bytes. Every pair within a group is compared,
+    by products of matrices of rows and shingles. A large group is cut into
+    blocks by a hash, and each pair of blocks is a unit of its own.
+    """
+    groups = written(groups.where(F.col(id_col).isNotNull()).groupBy(id_col, F.col("component_id").alias("group")).agg(F.max("n_bytes").alias("n_bytes")))
+    n, n_bytes = F.count("*"), F.sum("n_bytes")
+    blocks = F.greatest(F.least(F.ceil(n / ROWS), F.lit(BLOCKS)), F.ceil(n / BLOCK_ROWS), F.ceil(n_bytes / BLOCK_BYTES))
+    sizes = written(groups.groupBy("group").agg(n.alias("n"), n_bytes.alias("n_bytes"), blocks.cast("long").alias("blocks")).where("n > 1"))
+    small = sizes.where("blocks = 1").agg(F.sum("n"), n_bytes).first()
+    tasks = max(1, math.ceil((small[0] or 0) / ROWS), math.ceil((small[1] or 0) / BLOCK_BYTES))
+    members = groups.join(sizes.select("group", "blocks"), "group").select(F.col(id_col).alias("__id"), "group", "blocks")
+    rows = df.select(id_col, text_col).join(members, F.col(id_col) == F.col("__id")).drop("__id")
+    mine = F.pmod(F.xxhash64(id_col), "blocks")
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("mine", mine).withColumn("j", j).withColumn("h", F.least("mine", "j")).withColumn("v", F.greatest("mine", "j"))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group"))
+    split = (F.col("blocks") > 1).cast("int")
+    units = rows.select(unit.alias("unit"), split.alias("split"), "h", "v", "group", id_col, text_col, ((F.col("mine") == F.col("v")) & (F.col("h") < F.col("v"))).cast("int").alias("side"))
+    kind = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return units.groupBy("unit", "split", "h", "v").applyInPandas(lambda pdf: _alike(pdf, id_col, text_col, shingle, least), schema)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, **options) -> DataFrame:
+    """df with one row of each group of near-duplicates: the one with the least id. Rows without an id stay.
+
+    Fingerprints propose groups of candidates; in them the texts themselves are
+    compared. Links are transitive, by texts whose similarity is least or more.
+    """
     apart(df, "__drop")
-    groups = near_groups(df, id_col=id_col, text_col=text_col, **(PIPELINE | options))
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct()
+    options = PIPELINE | options
+    proposed = near_groups(df, id_col=id_col, text_col=text_col, **options)
+    nodes = components(alike(df, proposed, id_col, text_col, options["shingle"], least))
+    gone = nodes.where("node != label").select(F.col("node").alias("__drop"))
     return df.join(gone, F.col(id_col) == F.col("__drop"), "left_anti")

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and columns that clash."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,6 +170,62 @@ def test_near_dedup(spark):
     assert rows(simhash.near_dedup(df), "doc_id") == [(1,), (3,), (4,), (None,)]
 
 
+def brute_alike(data, least=0.8):
+    """The id of each (id, text) and the least id that pairs alike in so many 5-word shingles lead to."""
+    sets = {}
+    for d, t in data:
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets[d] = {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    holders, top = {}, {d: d for d in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for d in sorted(sets):
+        shared = Counter(o for s in sets[d] for o in holders.get(s, ()))
+        if not sets[d]:
+            shared = {o: 0 for o in sets if o < d and not sets[o]}
+        for o, n in shared.items():
+            if n * (1 + least) + 1e-9 >= least * (len(sets[d]) + len(sets[o])):
+                x, y = sorted((root(d), root(o)))
+                top[y] = x
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+    return {d: root(d) for d in sets}
+
+
+@pytest.mark.parametrize("rows_of_block", [8, 256])
+def test_alike_in_blocks(spark, monkeypatch, rows_of_block):
+    """Copies with more and more changes around 0.8, in large and small groups: the pairs of brute force, whatever the blocks."""
+    monkeypatch.setattr(simhash, "ROWS", rows_of_block)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rnd = random.Random(6)
+    data = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "One  two"), (5, "two one")]
+    for group in range(4):
+        base = [rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(200)]
+        for _ in range(120 if group == 0 else 5):
+            copy = list(base)
+            for _ in range(rnd.randrange(7)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(WORDS)
+            data.append((len(data), " ".join(copy)))
+    data.append((len(data), LONG))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    groups = df.selectExpr("doc_id", "doc_id % 2 * 0 as component_id", "length(text) as n_bytes").fillna(0)
+    got = {r.node: r.label for r in simhash.components(simhash.alike(df, groups)).collect()}
+    want = brute_alike(data)
+    assert {d: got.get(d, d) for d, _ in data} == want and len(set(want.values())) > 10
+
+
+def test_near_dedup_against_brute_force(spark):
+    """Of whole texts: what stays is the least id of each group of texts alike in 0.8 of their shingles."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_alike([tuple(r) for r in df.collect()])
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == sorted(set(want.values()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
