@@ -16,7 +16,8 @@ distance in m - r of them. Two fingerprints at most r bits apart agree in some
 m - r blocks, so they are at distance 0 there: in that tree the bounds are tight,
 nothing overlaps, and the pair meets in a leaf. With r = 4 and m = 5 about a
 thousandth of all pairs is compared; m grows with the input. Leaves compare full
-fingerprints. A wide radius has one tree, whose bounds prune little.
+fingerprints. A wide radius has one tree, whose bounds of distance prune little;
+its root splits by the number of shingles, where similarity bounds that.
 
 Defined results: a null text is an empty one, fingerprint zero; rows without an
 id take part, and a component without any id has none; repeated rows share all;
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from mutalog.llm.shared import apart, in_batches, text_of, written
 
 #: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
 HOMES, VISITORS = 24_576, 131_072
-#: Width of a node's bands of distance in the one tree of a wide radius.
+#: Least width of a node's bands of distance in the one tree of a wide radius; else half the radius.
 BAND = 2
 #: Widest radius that gets a forest; most trees of one.
 NARROW, TREES = 6, 128
@@ -73,8 +74,12 @@ def fingerprint(text: str, shingle: int, words64: int) -> bytes:
 
     Later words take further hashes that are mixed from the first one.
     """
+    return _bits(_hashes(text, shingle), words64)
+
+
+def _bits(hashes: Iterable[np.ndarray], words64: int) -> bytes:
     ones, n = np.zeros((words64, 64), np.int64), 0
-    for h in _hashes(text, shingle):
+    for h in hashes:
         n += len(h)
         for w in range(words64):
             x = h
@@ -87,14 +92,23 @@ def fingerprint(text: str, shingle: int, words64: int) -> bytes:
     return np.packbits(2 * ones > n, axis=1).tobytes()
 
 
+def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1) -> DataFrame:
-    """id, fp (binary) and n_bytes (of the text) of each row."""
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
+    """id, fp (binary), n_bytes (of the text) and n_shingles (different ones) of each row."""
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_shingles")]
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), *counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array((fingerprint(t.as_py() or "", shingle, words64) for t in b.column(text_col)), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), fp, b.column("n_bytes")], schema.names)
+            fp, n = [], []
+            for t in b.column(text_col):
+                hashes = list(_hashes(t.as_py() or "", shingle))
+                fp.append(_bits(hashes, words64))
+                n.append(len(_distinct(hashes)))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, pa.binary()), b.column("n_bytes"), pa.array(n, pa.int64())], schema.names)
 
     return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
 
@@ -140,16 +154,22 @@ def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
 
 
 def _tree(points: DataFrame, radius: int) -> DataFrame:
-    """points (fp, w) as (leaf, fp, home): where each lives and which leaves it visits, for a wide radius.
+    """points (fp, w, size) as (leaf, fp, home): where each lives and which leaves it visits, for a wide radius.
 
-    Where two fingerprints part, the one in the lower band visits the higher
-    one's, so a pair meets in one leaf only.
+    Below the root, which splits by size, a pair can be linked in one band of
+    sizes or in two next to each other. Where two fingerprints part, the one of
+    the lower size, or at equal size in the lower band of distance, visits the
+    other's leaf, so a pair meets in one leaf only.
     """
+    width = max(BAND, radius // 2)
     d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit("vantage 0"), F.lit(""))))
-    band = lambda x: F.floor(x / BAND).cast("int")
-    last = F.least(band(F.col("d") + radius), F.lit(64 // BAND))
-    rows = points.withColumn("d", d).withColumn("own", band(F.col("d"))).withColumn("b", F.explode(F.sequence(F.col("own"), last)))
-    return rows.select(F.col("b").cast("long").alias("leaf"), "fp", (F.col("b") == F.col("own")).alias("home"))
+    band = lambda x: F.floor(x / width).cast("long")
+    last = F.least(band(F.col("d") + radius), F.lit(64 // width).cast("long"))
+    rows = points.withColumn("d", d).withColumn("own", band(F.col("d")))
+    here = F.transform(F.sequence("own", last), lambda b: F.col("size") * 64 + b)
+    above = F.transform(F.sequence(band(F.greatest(F.col("d") - radius, F.lit(0))), last), lambda b: (F.col("size") + 1) * 64 + b)
+    rows = rows.withColumn("leaf", F.explode(F.concat(here, above)))
+    return rows.select("leaf", "fp", (F.col("leaf") == F.col("size") * 64 + F.col("own")).alias("home"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +260,13 @@ def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
 def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fp at most radius bits apart.
 
-    points: distinct fp. first: bits that the first 64 may differ, if the
-    fingerprints are longer; the trees look at these alone.
+    points: distinct fp, or fp and size (long): then links between sizes that
+    differ by more than one needn't be found. first: bits that the first 64 may
+    differ, if the fingerprints are longer; the trees look at these alone.
     """
     first = radius if first is None else first
+    if "size" not in points.columns:
+        points = points.withColumn("size", F.lit(0).cast("long"))
     points = points.withColumn("w", _as_long(F.col("fp")))
     n = points.count()
     rows = _forest(points, first, n) if first <= NARROW else _tree(points, first)
@@ -291,11 +314,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(labelled.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to, n_bytes of the text."""
+def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to, n_bytes of the text.
+
+    least: links between texts that can't be alike in so many of their shingles,
+    as one has too few, needn't be found.
+    """
     prints = written(fingerprints(df, id_col, text_col, shingle, words64))
     points = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    labels = components(links(points.select("fp"), radius, first))
+    if least is None:
+        places = points.select("fp")
+    else:
+        # of two alike texts, one has least times the other's shingles or more: the steps of size are as wide
+        step = -math.log(least) * (1 + 1e-9)
+        places = prints.select("fp", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).alias("size")).distinct()
+        places = written(places)
+    labels = components(links(places, radius, first))
     classes = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # written, so that the join below has an exchange on either side and a hot label can be split
     tops = written(classes.groupBy("label").agg(F.min("least").alias("component_id")))
@@ -342,7 +376,7 @@ def _alike(pdf: pd.DataFrame, id_col: str, text_col: str, shingle: int, least: f
     forest = _Forest(len(ids))
     for _, rows in pdf.groupby("group", sort=False):
         node = np.fromiter(map(at.__getitem__, rows[id_col]), np.int64, len(rows))
-        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(t or "", shingle)])) for t in rows[text_col]]
+        sets = [_distinct(list(_hashes(t or "", shingle))) for t in rows[text_col]]
         side = rows["side"].to_numpy()
         home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(other):
@@ -391,7 +425,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     apart(df, "__drop")
     options = PIPELINE | options
-    proposed = near_groups(df, id_col=id_col, text_col=text_col, **options)
+    proposed = near_groups(df, id_col=id_col, text_col=text_col, least=least, **options)
     nodes = components(alike(df, proposed, id_col, text_col, options["shingle"], least))
     gone = nodes.where("node != label").select(F.col("node").alias("__drop"))
     return df.join(gone, F.col(id_col) == F.col("__drop"), "left_anti")
