@@ -39,10 +39,9 @@ SLICE = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-@functools.lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    n = SLICE + WINDOW + 1
+@functools.lru_cache(2)
+def _powers(n: int = SLICE + WINDOW + 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2 ** 64."""
     inverse = pow(int(_BASE), -1, 1 << 64)
     up = np.full(n, _BASE, np.uint64)
     down = np.full(n, inverse, np.uint64)

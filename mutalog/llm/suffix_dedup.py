@@ -15,7 +15,9 @@ offsets. So:
    the whole order; a hash collision makes the task sort by bytes instead;
 3. two windows at offset o are equal if they are in one class of the sorted
    prefixes at depth o and in one class of the sorted suffixes at depth
-   LENGTH - o, so a pass over the offsets marks every repeated window;
+   LENGTH - o, so a pass over the offsets marks every repeated window. A gram
+   whose contexts are more than HOT bytes isn't sorted in one task: its windows
+   are counted by their 128-bit digests, as contexts are told apart by theirs;
 4. marked runs go back to their documents, whose covered bytes are removed.
 
 Texts are moved twice, compressed; all else is narrow. Matches never cross
@@ -44,8 +46,12 @@ from mutalog.llm.shared import apart, in_batches, written
 LENGTH, GRAM = 400, 64
 #: Grams in a window.
 SPAN = LENGTH - GRAM + 1
-#: Bytes of contexts that are sorted together; one gram's contexts are never parted.
-BATCH = 3 << 20
+#: Bytes of contexts that are sorted together, and of one gram's contexts above which its windows are counted by a shuffle instead.
+BATCH, HOT = 3 << 20, 1 << 20
+#: Bytes on either side of a gram; a window has all of them on one side or on the other.
+HALF = (LENGTH - GRAM) // 2
+#: Windows of hot grams in an Arrow batch.
+WINDOWS = 1 << 16
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -82,7 +88,7 @@ class Texts:
     def __init__(self, data: np.ndarray, at: np.ndarray, extent: np.ndarray):
         """at: where the suffix of each context starts; extent: its bytes."""
         self.data, self.at, self.extent = data, at, extent
-        self._up, down = _powers()
+        self._up, down = _powers() if len(data) < SLICE else _powers(1 << len(data).bit_length())
         self._sum = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], dtype=np.uint64, out=self._sum[1:])
 
@@ -308,6 +314,66 @@ def _resolved(rows: DataFrame) -> DataFrame:
     return in_batches(rows, run, "kind binary, runs array<struct<a:int,b:int>>")
 
 
+def _windows(kinds: DataFrame) -> DataFrame:
+    """kinds (kind, context, offset, starts, right, left) as (window, kind, start): the digest of each window on a marked side of its gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], []]
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32()))], ["window", "kind", "start"])
+
+        for b in batches:
+            for kind, context, offset, starts, right, left in zip(*(b.column(c).to_pylist() for c in ("kind", "context", "offset", "starts", "right", "left"))):
+                for s in range(starts):
+                    if right if offset - s <= HALF else left:
+                        for column, value in zip(out, (hashlib.blake2b(context[s : s + LENGTH], digest_size=16).digest(), kind, s)):
+                            column.append(value)
+                if len(out[0]) >= WINDOWS:
+                    yield made()
+                    out = [[], [], []]
+        if out[0]:
+            yield made()
+
+    return in_batches(kinds, run, "window binary, kind binary, start int")
+
+
+def _as_runs(rows: DataFrame) -> DataFrame:
+    """(kind, starts) as (kind, runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = []
+            for at in b.column("starts").to_pylist():
+                row = np.zeros(SPAN, bool)
+                row[at] = True
+                runs.append([{"a": a, "b": z} for a, z in _runs(row)])
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["kind", "runs"])
+
+    return in_batches(rows, run, "kind binary, runs array<struct<a:int,b:int>>")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """_resolved() for grams with very many contexts, which are dealt out by their windows and not by their gram.
+
+    A window has HALF bytes before its gram or HALF bytes behind it, so only
+    contexts that have these in common with another one list their windows.
+    """
+    kinds = rows.groupBy("kind").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("gram", "context", "offset", "starts")))
+    near = F.col("offset") - F.col("starts") + 1  # offsets of the gram in the context's windows: from near to offset
+    part = lambda at: F.substr("context", at.cast("int"), F.lit(GRAM + HALF))
+    right = F.when(near <= HALF, F.xxhash64(F.lit(0), "gram", part(F.col("offset") + 1)))
+    left = F.when(F.col("offset") > HALF, F.xxhash64(F.lit(1), "gram", part(F.col("offset") - HALF + 1)))
+    kinds = written(kinds.withColumns({"r": right, "l": left}))
+    sides = written(kinds.select(F.explode(F.array("r", "l")).alias("side")).where("side is not null").groupBy("side").agg(F.count("*").alias("times")).where("times > 1").select("side"))
+    marked = kinds.join(sides.select(F.col("side").alias("r"), F.lit(True).alias("right")), "r", "left").join(sides.select(F.col("side").alias("l"), F.lit(True).alias("left")), "l", "left")
+    marked = written(marked.where("right or left").select("kind", "context", "offset", "starts", "n", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("right", "left"))))
+    again = written(_windows(marked).groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"))
+    found = _windows(marked.where("n = 1")).join(again, "window", "left_semi").groupBy("kind").agg(F.collect_set("start").alias("starts"))
+    whole = kinds.where("n > 1").select("kind", F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b"))).alias("runs"))
+    return _as_runs(found).unionByName(whole)
+
+
 def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
     more = [T.StructField("kept_text", T.StringType())] if keep_text else []
 
@@ -351,7 +417,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = _packed(texts)
     docs = packed.select(*me, _ID, "packed").join(open_, key).select(_ID, "th", "packed", "found")
     rows = written(_context_rows(docs))
-    resolved = _resolved(rows.where("context is not null").select("gram", "kind", "context", "offset", "starts").repartition("gram").sortWithinPartitions("gram"))
+    contexts = rows.where("context is not null").select("gram", "kind", "context", "offset", "starts")
+    hot = written(contexts.groupBy("gram").agg(F.sum(F.octet_length("context").cast("long")).alias("size")).where(F.col("size") > HOT).select("gram"))
+    resolved = _resolved(contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram"))
+    if not hot.isEmpty():
+        resolved = resolved.unionByName(_counted(contexts.join(hot, "gram", "left_semi")))
     spans = rows.select(_ID, "th", "first", "kind").join(written(resolved), "kind").select(*me, F.col("first"), F.explode("runs").alias("r"))
     spans = spans.select(*key, F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") - 1 + LENGTH).alias("b")).alias("s")).groupBy(*key).agg(F.collect_set("s").alias("spans"))
     last = packed.select(*me, _ID, "packed").join(written(spans), key, "left").select(_ID, "packed", "spans")

@@ -296,6 +296,46 @@ def test_suffix_dedup_of_overlapping_copies(spark):
     assert {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df).collect()} == want
 
 
+def test_suffix_order_of_long_batches():
+    """More bytes than a slice: the powers reach as far as the data."""
+    data = np.tile(np.frombuffer(b"ab", np.uint8), 2_200_000)
+    at = np.array([1, 0, len(data) - 500, len(data)])
+    order, shared = suffix_dedup.Texts(data, at, np.array([500, 600, 500, 0])).order(np.zeros(4, np.int64))
+    assert order.tolist() == [3, 2, 1, 0] and shared.tolist() == [-1, 0, 500, 0]
+
+
+def with_one_gram(n, rnd):
+    """n + 40 texts around one gram of least hash: n share nothing else, 40 share windows of every kind."""
+    word = lambda k: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    pool = word(1 << 20)
+    p = int(np.argmin(suffix_dedup.rolling(np.frombuffer(pool.encode(), np.uint8), suffix_dedup.GRAM)))
+    gram = pool[p : p + suffix_dedup.GRAM]
+    before, after = word(336), word(336)
+    near = []
+    for _ in range(40):
+        a, b = rnd.randrange(337), rnd.randrange(337)
+        near.append(word(336 - a) + before[336 - a :] + gram + after[:b] + word(336 - b))
+    near[-1] = near[-2]
+    return [word(336) + gram + word(336) for _ in range(n)], near
+
+
+def test_suffix_dedup_of_a_gram_in_many_contexts(spark):
+    """One gram with more than 4 MiB of different contexts."""
+    apart, near = with_one_gram(6500, random.Random(9))
+    df = spark.createDataFrame(list(enumerate(near + apart)), "doc_id long, text string")
+    want = dict(enumerate(brute_repeats([t.encode() for t in near]) + [(len(t), 0, 0, sha(t)) for t in apart]))
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df).collect()} == want
+    assert len({w[1] for w in want.values()}) > 5
+
+
+def test_suffix_dedup_by_counted_windows(spark, docs, monkeypatch):
+    """All grams treated as those with very many contexts: the same as brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    got = rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((d, *w) for (d, *_), w in zip(ROWS, brute_repeats([(t or "").encode() for _, t, *_ in ROWS]))), key=repr)
+    test_suffix_dedup_of_overlapping_copies(spark)
+
+
 def test_suffix_order_survives_collisions(monkeypatch):
     data = np.frombuffer(b"banana bandana cabana", np.uint8)
     at = np.arange(len(data))
