@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,19 +96,27 @@ def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1) -> DataFrame:
-    """id, fp (binary), n_bytes (of the text) and n_shingles (different ones) of each row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1, few: int | None = None) -> DataFrame:
+    """id, fp (binary), n_bytes (of the text) and n_shingles (different ones) of each row.
+
+    few: fingerprints count each different shingle once, and a column few has
+    the shingles of texts of at most so many (null for the others).
+    """
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_shingles")]
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), *counts])
+    more = [] if few is None else [T.StructField("few", T.ArrayType(T.LongType()))]
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), *counts, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, n = [], []
+            fp, n, short = [], [], []
             for t in b.column(text_col):
                 hashes = list(_hashes(t.as_py() or "", shingle))
-                fp.append(_bits(hashes, words64))
-                n.append(len(_distinct(hashes)))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, pa.binary()), b.column("n_bytes"), pa.array(n, pa.int64())], schema.names)
+                once = _distinct(hashes)
+                fp.append(_bits(hashes if few is None else (once[at : at + SHINGLES] for at in range(0, len(once), SHINGLES)), words64))
+                n.append(len(once))
+                short.append(once.view(np.int64) if few is not None and len(once) <= few else None)
+            last = [] if few is None else [pa.array(short, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, pa.binary()), b.column("n_bytes"), pa.array(n, pa.int64()), *last], schema.names)
 
     return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
 
@@ -314,13 +322,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(labelled.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, prints: DataFrame | None = None) -> DataFrame:
     """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to, n_bytes of the text.
 
     least: links between texts that can't be alike in so many of their shingles,
-    as one has too few, needn't be found.
+    as one has too few, needn't be found. prints: fingerprints() of df, written,
+    if they are there already.
     """
-    prints = written(fingerprints(df, id_col, text_col, shingle, words64))
+    if prints is None:
+        prints = written(fingerprints(df, id_col, text_col, shingle, words64))
     points = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     if least is None:
         places = points.select("fp")
@@ -343,6 +353,8 @@ def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int =
 PIPELINE = {"shingle": 5, "words64": 4, "radius": 60, "first": 19}
 #: Least similarity of near-duplicates: shingles in both texts over shingles in either.
 ALIKE = 0.8
+#: Texts of at most so many different shingles are proposed by shared shingles as well: their bits are even too often, and vary too much.
+SHORT = 40
 #: A group of candidates above ROWS or BLOCK_BYTES of text is compared block by block: up to BLOCKS of them, then more of at most BLOCK_ROWS. Smaller groups share units of about ROWS.
 ROWS, BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 256, 8, 2048, 4 << 20
 #: Columns of the matrix of rows and shingles that are multiplied at once.
@@ -417,15 +429,34 @@ def alike(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: st
     return units.groupBy("unit", "split", "h", "v").applyInPandas(lambda pdf: _alike(pdf, id_col, text_col, shingle, least), schema)
 
 
+def short_groups(prints: DataFrame, least: float, id_col: str = "doc_id") -> DataFrame:
+    """Groups (id, component_id, n_bytes), one for each shingle, in which every pair of short texts meets that is alike in so many of its shingles.
+
+    prints: id, n_bytes, few (see fingerprints()). Of n shingles in one order for
+    all texts, alike texts share one of the first n - ceil(least * n) + 1; the
+    order has rare shingles first, so that common ones propose little.
+    """
+    texts = prints.where(F.col(id_col).isNotNull()).select(id_col, "n_bytes", F.xxhash64("few").alias("t"), F.size("few").alias("n"), "few").dropDuplicates([id_col, "t"])
+    rows = written(texts.select(id_col, "n_bytes", "t", "n", F.explode("few").alias("s")))
+    common = written(rows.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"))
+    rank = F.row_number().over(Window.partitionBy(id_col, "t").orderBy(F.coalesce("times", F.lit(1)), "s"))
+    first = rows.join(common, "s", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    return first.where("times is not null").select(id_col, F.concat(F.lit("s"), F.col("s").cast("string")).alias("component_id"), "n_bytes")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, **options) -> DataFrame:
     """df with one row of each group of near-duplicates: the one with the least id. Rows without an id stay.
 
-    Fingerprints propose groups of candidates; in them the texts themselves are
-    compared. Links are transitive, by texts whose similarity is least or more.
+    Fingerprints of the different shingles propose groups of candidates, and of
+    short texts the shingles themselves; in them the texts are compared. Links
+    are transitive, by texts whose similarity is least or more.
     """
     apart(df, "__drop")
     options = PIPELINE | options
-    proposed = near_groups(df, id_col=id_col, text_col=text_col, least=least, **options)
+    prints = written(fingerprints(df, id_col, text_col, options["shingle"], options["words64"], math.floor(SHORT / least + 1e-9)))
+    proposed = near_groups(df, id_col=id_col, text_col=text_col, least=least, prints=prints, **options)
+    proposed = proposed.select(id_col, F.concat(F.lit("f"), F.col("component_id").cast("string")).alias("component_id"), "n_bytes")
+    proposed = proposed.unionByName(short_groups(prints, least, id_col))
     nodes = components(alike(df, proposed, id_col, text_col, options["shingle"], least))
     gone = nodes.where("node != label").select(F.col("node").alias("__drop"))
     return df.join(gone, F.col(id_col) == F.col("__drop"), "left_anti")

@@ -226,6 +226,36 @@ def test_near_dedup_against_brute_force(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == sorted(set(want.values()))
 
 
+def test_near_dedup_with_repeated_lines(spark):
+    """A copy that repeats a line more often has almost the same set of shingles."""
+    rnd = random.Random(12)
+    data = []
+    for n, line, times in [(200, 12, 10)] * 12 + [(300, 15, 6)] * 12:
+        base = [rnd.choice(WORDS) + str(rnd.randrange(9999)) for _ in range(n + 4)]
+        copy = base[: line + 4] * times + base
+        data += [(len(data), " ".join(base)), (len(data) + 1, " ".join(copy))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_alike(data)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == sorted(set(want.values())) == [2 * i for i in range(24)]
+
+
+def test_near_dedup_of_short_texts(spark):
+    """Pairs of 8 and 9 words, and other short ones at the limit or just below it, with a line that many have."""
+    rnd = random.Random(13)
+    word = lambda: rnd.choice(WORDS) + str(rnd.randrange(999))
+    data = []
+    for i in range(900):
+        base = [word() for _ in range(8 if i < 400 else rnd.randint(1, 60))]
+        if i % 9 == 0:
+            base += "this line is in very many of the texts".split()
+        copy = base + [word() for _ in range(1 if i < 400 else rnd.randint(0, 1 + len(base) // 4))]
+        data += [(len(data), " ".join(base)), (len(data) + 1, " ".join(copy))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_alike(data)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == sorted(set(want.values()))
+    assert sum(want[2 * i] == want[2 * i + 1] for i in range(400)) == 400 and len(set(want.values())) > 1000
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
