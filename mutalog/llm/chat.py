@@ -14,9 +14,11 @@ assistant texts.
 
 Defined results: null texts and null roles are empty; a null tree id is a tree
 of its own; a message whose parent isn't there is a root; messages on a cycle
-have no root and are in no path; repeated (tree, message) ids raise an error
-when asked for (check=True); an empty table gives no rows. A conversation is
-one value, so its length is bounded by what a row can hold.
+have no root and are in no path; of rows that repeat a (tree, message) id the
+least by (parent, role, text, score) stands for all, nulls first; rows without a
+message id are in no path; of the caller's columns only those named are read; an
+empty table gives no rows. A conversation is one value, so its length is bounded
+by what a row can hold.
 """
 
 from __future__ import annotations
@@ -58,10 +60,17 @@ def as_messages(turns: DataFrame, tree: str = "conv_id", turn: str = "turn") ->
     return rows.withColumn("parent_id", F.when(F.col("message_id") > 1, F.col("message_id") - 1)).withColumn("score", F.lit(0.0))
 
 
+def one_of_each(messages: DataFrame) -> DataFrame:
+    """One row per (tree_id, message_id), so that no self-join multiplies repeats."""
+    rest = F.struct("parent_id", "role", "text", "score")
+    least = messages.where(F.col("message_id").isNotNull()).groupBy("tree_id", "message_id").agg(F.min(rest).alias("least"))
+    return least.select("tree_id", "message_id", "least.*")
+
+
 def reply_paths(messages: DataFrame) -> DataFrame:
     """tree_id, leaf_id, message_id, distance: every message of every root-to-leaf path, by distance from the leaf.
 
-    messages: tree_id, message_id, parent_id.
+    messages: tree_id, message_id, parent_id; each (tree_id, message_id) once, see one_of_each().
     """
     at = messages.select(F.struct(F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("t"), F.col("tree_id").isNull().alias("n"), F.col("message_id").alias("m")).alias("node"), F.col("parent_id"))
     at = at.withColumn("up", F.when(F.col("parent_id").isNotNull(), F.col("node").withField("m", F.col("parent_id")))).select("node", "up")
@@ -82,12 +91,14 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     )
 
 
-def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame:
+def conversations(messages: DataFrame, branches: int | None = None, unique: bool = False) -> DataFrame:
     """One row per chosen path: tree_id, leaf_id, branch (rank by mean score, ties to the smaller leaf), formatted, spans of the loss mask.
 
     messages: tree_id, message_id, parent_id, role, text, score. branches: paths
-    taken from each tree, best first; None takes all.
+    taken from each tree, best first; None takes all. unique: the caller knows
+    that no (tree_id, message_id) repeats, as as_messages() does.
     """
+    messages = messages if unique else written(one_of_each(messages))
     paths = reply_paths(messages)
     body = messages.select(F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("tree_key"), F.col("tree_id").isNull().alias("tree_null"), "tree_id", "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     rows = paths.join(body, ["tree_key", "tree_null", "message_id"])

@@ -24,8 +24,10 @@ Texts are moved twice, compressed; all else is narrow. Matches never cross
 documents and are judged on the input.
 
 Defined results: a null text is an empty text with nothing removed; rows that
-repeat id and text are two places; rows without id take part; an empty table
-gives no rows.
+repeat id and text are two places; rows without id take part; a text that
+loses part of a character shows U+FFFD there in kept_text, its digest is of the
+bytes; the result has none of the caller's other columns; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mutalog.llm.bpe import SLICE, _powers, rolling
-from mutalog.llm.shared import apart, in_batches, written
+from mutalog.llm.shared import in_batches, written
 
 LENGTH, GRAM = 400, 64
 #: Grams in a window.
@@ -214,7 +216,7 @@ _ID = "__id"
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    names = [_ID, "th", "first", "starts", "anchor", "gram"]
+    names = [_ID, "none", "th", "first", "starts", "anchor", "gram"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,24 +229,23 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             if rows:
                 take = pa.array(np.concatenate(rows))
                 first, starts, anchor, gram = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([b.column(_ID).take(take), b.column("th").take(take), pa.array(first), pa.array(starts.astype(np.int32)), pa.array(anchor), pa.array(gram.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([b.column(_ID).take(take), b.column("none").take(take), b.column("th").take(take), pa.array(first), pa.array(starts.astype(np.int32)), pa.array(anchor), pa.array(gram.view(np.int64))], names)
 
-    kind = texts.schema[_ID].dataType
-    return in_batches(texts, run, T.StructType([T.StructField(_ID, kind), *(T.StructField(n, T.IntegerType() if n == "starts" else T.LongType()) for n in names[1:])]))
+    return in_batches(texts, run, T.StructType([texts.schema[_ID], texts.schema["none"], *(T.StructField(n, T.IntegerType() if n == "starts" else T.LongType()) for n in names[2:])]))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(_ID), b.column("th"), pa.array([pack.compress((t.as_py() or "").encode("utf-8")) for t in b.column("text")], pa.binary())], [_ID, "th", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(_ID), b.column("none"), b.column("th"), pa.array([pack.compress((t.as_py() or "").encode("utf-8")) for t in b.column("text")], pa.binary())], [_ID, "none", "th", "packed"])
 
-    return in_batches(texts, run, T.StructType([texts.schema[_ID], texts.schema["th"], T.StructField("packed", T.BinaryType())]))
+    return in_batches(texts, run, T.StructType([texts.schema[_ID], texts.schema["none"], texts.schema["th"], T.StructField("packed", T.BinaryType())]))
 
 
 def _context_rows(docs: DataFrame) -> DataFrame:
     """A row for each anchor; its context comes along for the first two of a kind in a task, which is all that step 2 needs."""
-    names = [_ID, "th", "first", "starts", "offset", "gram", "kind", "context"]
+    names = [_ID, "none", "th", "first", "starts", "offset", "gram", "kind", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, sent = zstandard.ZstdDecompressor(), {}
@@ -259,14 +260,14 @@ def _context_rows(docs: DataFrame) -> DataFrame:
                     if len(sent) > 500_000:
                         sent.clear()
                     sent[kind] = n + 1
-                    for column, value in zip(out, (i, i, a["first"], a["starts"], a["anchor"] - a["first"], a["gram"], kind, context if n < 2 else None)):
+                    for column, value in zip(out, (i, i, i, a["first"], a["starts"], a["anchor"] - a["first"], a["gram"], kind, context if n < 2 else None)):
                         column.append(value)
             if out[0]:
                 take = pa.array(out[0], pa.int64())
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(_ID).take(take), b.column("th").take(take), *(pa.array(c, k) for c, k in zip(out[2:], kinds))], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names[:3]), *(pa.array(c, k) for c, k in zip(out[3:], kinds))], names)
 
-    schema = T.StructType([docs.schema[_ID], docs.schema["th"], T.StructField("first", T.LongType()), T.StructField("starts", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("kind", T.BinaryType()), T.StructField("context", T.BinaryType())])
+    schema = T.StructType([docs.schema[_ID], docs.schema["none"], docs.schema["th"], T.StructField("first", T.LongType()), T.StructField("starts", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("kind", T.BinaryType()), T.StructField("context", T.BinaryType())])
     return in_batches(docs, run, schema)
 
 
@@ -405,8 +406,9 @@ def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text if asked for."""
     texts = df.select(F.col(id_col).alias(_ID), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    apart(df, _ID)
-    me = [F.coalesce(_ID, F.lit(0)).alias("k"), F.col(_ID).isNull().alias("none"), "th"]
+    # rows without id are told apart by a longer digest of their texts
+    texts = texts.withColumn("none", F.when(F.col(_ID).isNull(), F.unhex(F.md5(F.col("text").cast("binary")))))
+    me = [F.coalesce(_ID, F.lit(0)).alias("k"), F.coalesce("none", F.lit(b"")).alias("none"), "th"]
     key = ["k", "none", "th"]
     found = written(_anchor_rows(texts))
     # written, so that the join has an exchange on either side and a gram with many anchors can be split
@@ -415,14 +417,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a row that is there twice lists its anchors twice: once is enough here, both rows ask
     open_ = open_.select(*me, F.struct("first", "starts", "anchor", "gram").alias("a")).groupBy(*key).agg(F.collect_set("a").alias("found"))
     packed = _packed(texts)
-    docs = packed.select(*me, _ID, "packed").join(open_, key).select(_ID, "th", "packed", "found")
+    docs = packed.select(*me, _ID, "packed").join(open_, key).select(_ID, F.col("none"), "th", "packed", "found")
     rows = written(_context_rows(docs))
     contexts = rows.where("context is not null").select("gram", "kind", "context", "offset", "starts")
     hot = written(contexts.groupBy("gram").agg(F.sum(F.octet_length("context").cast("long")).alias("size")).where(F.col("size") > HOT).select("gram"))
     resolved = _resolved(contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram"))
     if not hot.isEmpty():
         resolved = resolved.unionByName(_counted(contexts.join(hot, "gram", "left_semi")))
-    spans = rows.select(_ID, "th", "first", "kind").join(written(resolved), "kind").select(*me, F.col("first"), F.explode("runs").alias("r"))
+    spans = rows.select(_ID, "none", "th", "first", "kind").join(written(resolved), "kind").select(*me, F.col("first"), F.explode("runs").alias("r"))
     spans = spans.select(*key, F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") - 1 + LENGTH).alias("b")).alias("s")).groupBy(*key).agg(F.collect_set("s").alias("spans"))
     last = packed.select(*me, _ID, "packed").join(written(spans), key, "left").select(_ID, "packed", "spans")
     return _cut_rows(last, keep_text).withColumnRenamed(_ID, id_col)

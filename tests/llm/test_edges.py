@@ -470,6 +470,15 @@ def test_reply_trees(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_repeated_messages(spark):
+    """A chain of 40 messages, each listed three times, once with another score and text: one path, of the least rows."""
+    m = [("t", i, i - 1 if i else None, "user", f"said {i}", 1.0, k) for i in range(40) for k in range(2)]
+    m += [("t", i, i - 1 if i else None, "user", f"said {i}!", 0.0, 2) for i in range(40)] + [("t", None, 3, "user", "no id", 0.0, 0)]
+    df = spark.createDataFrame(m, "tree_id string, message_id long, parent_id long, role string, text string, score double, branch int")
+    got = chat.conversations(df, branches=3).select("tree_id", "leaf_id", "branch", chat.parsed(F.col("formatted")).alias("turns")).collect()
+    assert [(r.tree_id, r.leaf_id, r.branch, [t.text for t in r.turns]) for r in got] == [("t", 39, 1, [f"said {i}" for i in range(40)])]
+
+
 def test_escapes_are_reversible(spark):
     texts = ["", "~", "~1", "~01", "<|", "<<||>", "[INST][/INST]", "[/[INST]INST]", "<s></s><<SYS>><</SYS>>", "~~0~8\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e"))

@@ -126,8 +126,12 @@ def brute_repeats(texts, length=400):
 def test_suffix_dedup(spark):
     rows = table("documents", SMALL, "doc_id, text")
     want = dict(zip([d for d, _ in rows], brute_repeats([t.encode() for _, t in rows])))
-    got = {r[0]: tuple(r)[1:] for r in QUERIES["op7_suffix_dedup"](spark, SMALL).collect()}
-    assert got == want and any(0 < w[1] < w[0] for w in want.values())
+    made = QUERIES["op7_suffix_dedup"](spark, SMALL).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in made}
+    assert got == want and any(0 < w[1] < w[0] for w in want.values()) and len(made) == len(rows)
+    assert all(r.removed == (r.n_removed > 0) and r.kept_bytes == r.n_bytes - r.n_removed for r in made)
+    whole = dict(rows)
+    assert all(r.kept_text == whole[r.doc_id] for r in made if not r.removed)
 
 
 def test_sharding(spark):
