@@ -12,7 +12,8 @@ Reuse is per worker and bounded in bytes; a text is encoded where it is read, so
 nothing is shuffled and a lost task is run again alone.
 
 Defined results: a null text is an empty text (0 ids); special strings inside
-texts become their ids, as the library does; every row stays a row.
+texts become their ids, as the library does; every row stays a row;
+a column of the caller that has the name of an added one goes on as <name>_input.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """df with token_ids."""
-    apart(df, "token_ids")
+    df = apart(df, "token_ids")
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
 
 def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """df with decoded, the text of its ids; null ids give an empty text."""
-    apart(df, "decoded")
+    df = apart(df, "decoded")
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -
 
 def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """df without its text, with n_tokens and the digests of its ids and of what they decode to: both ways in one pass."""
-    apart(df, "n_tokens", "ids_sha256", "decoded_sha256")
+    df = apart(df, "n_tokens", "ids_sha256", "decoded_sha256")
     path = path or default_path()
     kept = [c for c in df.columns if c != text_col]
     schema = T.StructType([*(f for f in df.schema if f.name != text_col), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

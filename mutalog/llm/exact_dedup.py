@@ -10,7 +10,8 @@ joined; the texts themselves move once at most, as distinct chunks.
 Defined results: a null text is an empty text; rows without an id are always
 kept, as nothing could name them, and never are another row's keep_id; rows that
 repeat both id and text are one document listed twice and get the same decision;
-an empty table gives no rows.
+an empty table gives no rows. exact_groups() reads the id and the text and
+returns no other column of the caller; exact_dedup() returns all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mutalog.llm.shared import SPACES, apart, text_of, written
+from mutalog.llm.shared import SPACES, text_of, unused, written
 
 #: Least and most characters of a chunk; a cut falls behind the first place in between that CUT matches.
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
@@ -71,6 +72,6 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, all their columns untouched."""
-    apart(df, "__drop")
-    gone = exact_groups(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("__drop")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = unused(df, "__drop")
+    gone = exact_groups(df, id_col, text_col).where("not kept").select(F.col(id_col).alias(drop)).distinct()
+    return df.join(gone, F.col(id_col) == F.col(drop), "left_anti")

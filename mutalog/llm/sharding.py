@@ -54,13 +54,12 @@ def place(row: Column, total: Column, shards: int, seed: int = 0) -> Column:
 
 
 def numbered(df: DataFrame, keys: list[str], ties: list[str], buckets: int = 4096) -> DataFrame:
-    """df with __row, gapless from 0 over the whole table, and __total.
+    """df (without columns __bucket, __n, __before) with __row, gapless from 0 over the whole table, and __total.
 
     Rows go to buckets by a hash of keys and are ordered in their bucket by keys
     and ties. The table of bucket sizes has `buckets` rows whatever the input's
     size, so it may be summed in one task and broadcast.
     """
-    apart(df, "__bucket", "__n", "__before", "__row", "__total")
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
@@ -71,7 +70,7 @@ def numbered(df: DataFrame, keys: list[str], ties: list[str], buckets: int = 409
 
 def shuffle_into_shards(df: DataFrame, keys: list[str], ties: list[str], shards: int, seed: int = 0) -> DataFrame:
     """df with shard and slot; law `rows`."""
-    apart(df, "shard", "slot")
+    df = apart(df, "shard", "slot", "__at", "__bucket", "__n", "__before", "__row", "__total")
     rows = numbered(df, keys, ties).withColumn("__at", place(F.col("__row"), F.col("__total"), shards, seed))
     return rows.withColumns({"shard": F.col("__at.shard"), "slot": F.col("__at.slot")}).drop("__at", "__row", "__total")
 

@@ -15,9 +15,11 @@ WORDS = r"[^ \t\n\x0B\f\r]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir. Only in local mode, as in tests, a temporary one takes its place where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="mutalog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,7 +38,12 @@ BATCH_BYTES = 8 << 20
 
 
 def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow() with batches of at most BATCH_BYTES (or one row), set in the session."""
+    """df.mapInArrow() with batches of at most BATCH_BYTES (or one row).
+
+    Spark reads that bound when the plan runs, not here, so it is set in the
+    session and stays: Arrow batches of later queries have it too, which changes
+    no result.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
@@ -46,8 +53,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def apart(df: DataFrame, *names: str) -> None:
-    """Columns that an operator adds must not be there already."""
-    clash = sorted(set(names) & set(df.columns))
-    if clash:
-        raise ValueError(f"the input has columns {clash}, which this operator adds; rename them first")
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns out of the way that an operator adds: a column of the caller under such a name (whatever its case) goes on as <name>_input."""
+    taken = {c.lower() for c in df.columns}
+    for old in [c for c in df.columns if c.lower() in {n.lower() for n in names}]:
+        new = f"{old}_input"
+        while new.lower() in taken:
+            new += "_input"
+        taken.add(new.lower())
+        df = df.withColumnRenamed(old, new)
+    return df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that isn't a column of df: for a column that is dropped again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

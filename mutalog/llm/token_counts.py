@@ -9,7 +9,8 @@ prefix has and how much of the text fits a budget, without encoding again.
 
 Defined results: a null text is an empty one with 0 tokens; special strings
 inside texts count as the library counts them (one token); a row stays a row,
-repeated or without id; other columns that clash raise an error.
+repeated or without id; a column of the
+caller that has the name of an added one goes on as <name>_input.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
 
 def count_tokens(df: DataFrame, text_col: str = "text", limit: int = 512, path: str | None = None) -> DataFrame:
     """df without its text, with n_bytes, n_tokens and over_limit."""
-    apart(df, "n_bytes", "n_tokens", "over_limit")
+    df = apart(df, "n_bytes", "n_tokens", "over_limit")
     path = path or default_path()
     kept = [c for c in df.columns if c != text_col]
     schema = T.StructType([*(f for f in df.schema if f.name != text_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
@@ -156,7 +157,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", limit: int = 512, path:
 
 def prefix_tables(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """df with prefix_tokens: the token count of every prefix, by code points, 0 first."""
-    apart(df, "prefix_tokens")
+    df = apart(df, "prefix_tokens")
     path = path or default_path()
     schema = T.StructType([*df.schema, T.StructField("prefix_tokens", T.ArrayType(T.LongType()))])
 
