@@ -1,31 +1,38 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
 Fingerprints are computed where the texts are read. Distinct fingerprints are
-then placed in vantage-point trees: each node has a vantage fingerprint (a hash
-of the node's path, so nothing is sampled or sent around) and splits by distance
-to it into bands. A fingerprint lives in one leaf of a tree, and by the triangle
-inequality can only be linked to fingerprints in bands within the radius of its
-own distance; it visits the leaves of those bands. Each leaf compares what lives
-there with what visits, exactly, and returns a spanning forest of the links, not
-the pairs. Connected components follow by alternating star joins.
+then placed in vantage-point trees of several levels: each node has a vantage
+fingerprint (a hash of the node's path, so nothing is sampled or sent around)
+and one branch for each Hamming distance to it. A fingerprint lives in one leaf
+of a tree; by the triangle inequality what it can be linked to is in branches
+whose distance is near its own, and it visits the leaves of those. Each leaf
+compares what lives there with what visits, exactly, and returns a spanning
+forest of the links, not the pairs. Connected components follow by alternating
+star joins.
 
 Around a vantage most fingerprints have nearly the same distance, so over all 64
 bits the bounds would prune by a constant factor and not more. A small radius r
-therefore gets a forest: the bits are dealt into m blocks, and a tree measures
-distance in m - r of them. Two fingerprints at most r bits apart agree in some
-m - r blocks, so they are at distance 0 there: in that tree the bounds are tight,
-nothing overlaps, and the pair meets in a leaf. With r = 4 and m = 5 about a
-thousandth of all pairs is compared; m grows with the input. Leaves compare full
-fingerprints. A wide radius has one tree, whose bounds of distance prune little;
-its root splits by the number of shingles, where similarity bounds that.
+therefore gets a forest: the bits are dealt into blocks, each level measures
+distance in one block, and a tree leaves out r - 1 of the blocks. Whatever r
+bits differ, some tree has one of them at most in all that it measures (the
+trees are chosen so): there a pair parts at the levels of one block, into
+neighbouring branches, and nowhere else. The number of blocks and of vantages
+per block follows from the number of fingerprints. Leaves compare whole
+fingerprints.
+
+near_dedup() uses longer fingerprints with a wide radius, for which no tree
+prunes. It takes as leaves the rare shingles that lead each text instead.
 
 Defined results: a null text is an empty one, fingerprint zero; rows without an
 id take part, and a component without any id has none; repeated rows share all;
+near_groups() returns no other column of the caller, near_dedup() returns all;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import itertools
 import math
 from collections.abc import Iterable, Iterator
@@ -38,7 +45,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mutalog.llm.shared import apart, in_batches, text_of, written
+from mutalog.llm.bpe import SLICE, _powers
+from mutalog.llm.shared import in_batches, text_of, unused, written
 
 #: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
 HOMES, VISITORS = 24_576, 131_072
@@ -46,8 +54,10 @@ HOMES, VISITORS = 24_576, 131_072
 BAND = 2
 #: Widest radius that gets a forest; most trees of one.
 NARROW, TREES = 6, 128
-#: Leaves that are one unit each are dealt out together, about so many fingerprints to a task's group.
-GROUP = 20_000
+#: Leaves that are less than a unit are dealt out together, about so many fingerprints to a task's group.
+GROUP = 50_000
+#: Leaves of at most so many rows are compared all at once.
+FEW = 48
 #: Pairs that a task holds at once before it unites them.
 PAIRS = 1 << 21
 #: Shingles whose bits are counted at once.
@@ -92,33 +102,15 @@ def _bits(hashes: Iterable[np.ndarray], words64: int) -> bytes:
     return np.packbits(2 * ones > n, axis=1).tobytes()
 
 
-def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1, few: int | None = None) -> DataFrame:
-    """id, fp (binary), n_bytes (of the text) and n_shingles (different ones) of each row.
-
-    few: fingerprints count each different shingle once, and a column few has
-    the shingles of texts of at most so many (null for the others).
-    """
-    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_shingles")]
-    more = [] if few is None else [T.StructField("few", T.ArrayType(T.LongType()))]
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), *counts, *more])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words64: int = 1) -> DataFrame:
+    """id and fp (binary) of each row."""
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, n, short = [], [], []
-            for t in b.column(text_col):
-                hashes = list(_hashes(t.as_py() or "", shingle))
-                once = _distinct(hashes)
-                fp.append(_bits(hashes if few is None else (once[at : at + SHINGLES] for at in range(0, len(once), SHINGLES)), words64))
-                n.append(len(once))
-                short.append(once.view(np.int64) if few is not None and len(once) <= few else None)
-            last = [] if few is None else [pa.array(short, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, pa.binary()), b.column("n_bytes"), pa.array(n, pa.int64()), *last], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([fingerprint(t.as_py() or "", shingle, words64) for t in b.column(text_col)], pa.binary())], schema.names)
 
-    return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
+    return in_batches(df.select(id_col, text_col), run, schema)
 
 
 def _as_long(fp: Column) -> Column:
@@ -127,57 +119,90 @@ def _as_long(fp: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-def _blocks(radius: int, n: int) -> int:
-    """Blocks of bits that cost least for n fingerprints: moving one into another tree costs about 4,000 comparisons."""
-
-    def cost(m: int) -> float:
-        return math.comb(m, radius) * (4_000 + n / 2.0 ** (64 * (m - radius) / m))
-
-    return min((m for m in range(radius + 1, 33) if math.comb(m, radius) <= TREES), key=cost)
+@functools.lru_cache(64)
+def _kept_blocks(radius: int, blocks: int) -> list[tuple[int, ...]]:
+    """The blocks of bits that each tree of a forest measures.
 
-
-def _masks(radius: int, blocks: int) -> list[int]:
-    """The bits that each tree of a forest measures, as signed longs: every choice of all blocks but radius."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
-    chosen = [sum(c) for c in itertools.combinations(bits, blocks - radius)]
-    return [x - (1 << 64) if x >> 63 else x for x in chosen]
+    A tree leaves out radius - 1 blocks. However radius differing bits fall into
+    blocks, some tree has one of them at most in what it measures; trees are
+    taken greedily until that holds.
+    """
+    out = max(radius - 1, 0)
+    chosen = list(itertools.combinations(range(blocks), out))
+    spread = list(itertools.combinations_with_replacement(range(blocks), radius))
+    covers = [{i for i, e in enumerate(spread) if sum(x not in c for x in e) <= 1} for c in chosen]
+    left, trees = set(range(len(spread))), []
+    while left:
+        best = max(range(len(chosen)), key=lambda k: len(covers[k] & left))
+        left -= covers[best]
+        trees.append(tuple(x for x in range(blocks) if x not in chosen[best]))
+    return trees
+
+
+def _shape(radius: int, n: int) -> tuple[int, int]:
+    """Blocks of bits and vantages per block that cost least for n fingerprints: moving one into another leaf costs about 4,000 comparisons."""
+
+    def cost(shape: tuple[int, int]) -> float:
+        m, v = shape
+        width, trees = 64 / m, _kept_blocks(radius, m)
+        kept = len(trees[0])
+        alike = max(2.0**-width, (math.pi * width) ** (-v / 2)) ** kept  # two fingerprints that have nothing to do with each other, in one leaf
+        return len(trees) * (1 + kept * 2 ** (v - 1)) * (4_000 + n * alike)
+
+    return min(((m, v) for m in range(max(radius, 1), radius + 5) for v in range(1, 5) if len(_kept_blocks(radius, m)) <= TREES), key=cost)
+
+
+def _levels(kept: tuple[int, ...], blocks: int, vantages: int) -> list[tuple[int, int, bool, bool]]:
+    """The levels of a tree from the root: the bits measured (a signed long), how many, and whether the level is the first or the last on its block."""
+    out = []
+    for k in kept:
+        low, high = 64 * k // blocks, 64 * (k + 1) // blocks
+        bits = (1 << high) - (1 << low)
+        out += [(bits - (1 << 64) if bits >> 63 else bits, high - low, v == 0, v == vantages - 1) for v in range(vantages)]
+    return out
 
 
 def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
-    """points (fp, w) as (leaf, fp, home): each lives in one leaf of every tree.
-
-    Distances are exact bands here, as a linked pair has distance 0 in some
-    tree. Leaves are told apart by a hash of their path; two under one hash are
-    compared as one.
+    """points (fp, w) as (leaf, fp, home): the leaf of each tree where it lives, and those that it visits.
+
+    Each level has a vantage for every node, which is a hash of the node's path.
+    A pair that a tree must find differs by one bit at most in all that the tree
+    measures. So at all levels of one block the distances to the vantages may
+    differ by one, up or down (the triangle bound is met exactly, as a changed
+    bit changes every distance), and at all others they are equal: every other
+    branch is pruned. Where two fingerprints part first, the nearer one visits
+    the other's branch, so a pair meets in one leaf of a tree.
     """
-    masks = _masks(radius, _blocks(radius, n))
-    rows = points.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
-    rows = rows.withColumn("leaf", F.xxhash64("mask"))
-    # a level tells apart by a factor of about 4, until the bits are used up
-    for level in range(max(1, min(math.ceil(math.log(max(n, 1) / 100, 4)) if n > 100 else 1, 12))):
-        d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")).bitwiseAND(F.col("mask")))
-        rows = rows.withColumn("leaf", F.xxhash64("leaf", d))
-    return rows.select("leaf", "fp", F.lit(True).alias("home"))
+    blocks, vantages = _shape(radius, n)
+    made = None
+    for t, kept in enumerate(_kept_blocks(radius, blocks)):
+        # off: 0 at home, 1 in a neighbouring branch and still on that block, 2 further down
+        rows = points.select("fp", "w", F.xxhash64(F.lit("tree"), F.lit(t)).alias("leaf"), F.lit(0).alias("off"))
+        for level, (bits, width, first, last) in enumerate(_levels(kept, blocks, vantages)):
+            d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")).bitwiseAND(F.lit(bits).cast("long")))
+            rows = rows.withColumn("d", d)
+            branch = lambda by, off: F.struct((F.col("d") + by).alias("band"), F.lit(off).alias("off"))
+            here = F.array(F.struct(F.col("d").alias("band"), F.col("off").alias("off")))
+            aside = F.array(*(branch(by, 2 if last else 1) for by in (1, -1)))
+            to = F.when(F.col("off") == 0, F.concat(here, F.array(branch(1, 2 if last else 1)))).otherwise(here) if first else F.when(F.col("off") == 1, aside).otherwise(here)
+            rows = rows.withColumn("to", F.explode(to)).where(F.col("to.band").between(0, width))
+            rows = rows.select("fp", "w", F.xxhash64("leaf", F.col("to.band")).alias("leaf"), F.col("to.off").alias("off"))
+        made = rows if made is None else made.unionByName(rows)
+    return made.select("leaf", "fp", (F.col("off") == 0).alias("home"))
 
 
 def _tree(points: DataFrame, radius: int) -> DataFrame:
-    """points (fp, w, size) as (leaf, fp, home): where each lives and which leaves it visits, for a wide radius.
+    """points (fp, w) as (leaf, fp, home) for a radius beyond NARROW: one level of bands, which prunes little.
 
-    Below the root, which splits by size, a pair can be linked in one band of
-    sizes or in two next to each other. Where two fingerprints part, the one of
-    the lower size, or at equal size in the lower band of distance, visits the
-    other's leaf, so a pair meets in one leaf only.
+    Where two fingerprints part, the one in the lower band visits the other's
+    leaf, so a pair meets in one leaf only.
     """
     width = max(BAND, radius // 2)
     d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit("vantage 0"), F.lit(""))))
     band = lambda x: F.floor(x / width).cast("long")
-    last = F.least(band(F.col("d") + radius), F.lit(64 // width).cast("long"))
     rows = points.withColumn("d", d).withColumn("own", band(F.col("d")))
-    here = F.transform(F.sequence("own", last), lambda b: F.col("size") * 64 + b)
-    above = F.transform(F.sequence(band(F.greatest(F.col("d") - radius, F.lit(0))), last), lambda b: (F.col("size") + 1) * 64 + b)
-    rows = rows.withColumn("leaf", F.explode(F.concat(here, above)))
-    return rows.select("leaf", "fp", (F.col("leaf") == F.col("size") * 64 + F.col("own")).alias("home"))
+    rows = rows.withColumn("leaf", F.explode(F.sequence("own", F.least(band(F.col("d") + radius), F.lit(64 // width).cast("long")))))
+    return rows.select("leaf", "fp", (F.col("leaf") == F.col("own")).alias("home"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,65 +261,94 @@ class _Forest:
 
 
 def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
-    """Units of leaves: the homes of each (side 0) with a block of what may be linked to them (side 1; none: the homes), as star links."""
+    """Units of leaves: the homes of each (side 0) with what may be linked to them, as star links.
+
+    A unit of a large leaf has a block of all its rows at side 1; of a small leaf
+    side 1 has the visitors alone, and homes meet each other as well.
+    """
     fps = list(dict.fromkeys(pdf["fp"]))
     at = {f: i for i, f in enumerate(fps)}
     words = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
     node = np.fromiter(map(at.__getitem__, pdf["fp"]), np.int64, len(pdf))
-    leaf, side = pdf["leaf"].to_numpy(), pdf["side"].to_numpy()
+    leaf, side, whole = pdf["leaf"].to_numpy(), pdf["side"].to_numpy(), pdf["h"].iloc[0] < 0
     order = np.lexsort((side, leaf))
     node, leaf, side = node[order], leaf[order], side[order]
     head = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+    size = np.diff(np.append(head, len(leaf)))
     forest, left, right, held = _Forest(len(fps)), [], [], 0
-    for a, z in zip(head.tolist(), [*head[1:].tolist(), len(leaf)]):
-        split = a + int(np.searchsorted(side[a:z], 1))
-        homes, others = node[a:split], node[split:z] if split < z else node[a:split]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal left, right, held
+        left.append(x)
+        right.append(y)
+        held += len(x)
+        if held > PAIRS:
+            forest.unite(np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+
+    if whole:  # leaves of a few rows, all at once: each row with the k-th one behind it
+        few = np.repeat(size <= FEW, size)
+        n, l, s = node[few], leaf[few], side[few]
+        for k in range(1, int(size[size <= FEW].max(initial=1))):
+            i = np.flatnonzero((l[:-k] == l[k:]) & (s[:-k] == 0))
+            if len(i):
+                pair = np.unique(np.minimum(n[i], n[i + k]) * len(fps) + np.maximum(n[i], n[i + k]))
+                x, y = pair // len(fps), pair % len(fps)
+                near = np.bitwise_count(words[x, 0] ^ words[y, 0]) <= first
+                x, y = x[near], y[near]
+                if words.shape[1] > 1:
+                    near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= radius
+                    x, y = x[near], y[near]
+                keep(x, y)
+    for a, n in zip(head.tolist(), size.tolist()):
+        if whole and n <= FEW:
+            continue
+        split = a + int(np.searchsorted(side[a : a + n], 1))
+        homes, others = node[a:split], node[a : a + n] if whole else node[split : a + n]
         there = words[others]
         step = max(16, min(128, PAIRS // max(len(others), 1)))
         for i in range(0, len(homes), step):
             x, y = _close(words[homes[i : i + step]], there, radius, first)
-            left.append(homes[i + x])
-            right.append(others[y])
-            held += len(x)
-            if held > PAIRS:
-                forest.unite(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+            keep(homes[i + x], others[y])
     if held:
         forest.unite(np.concatenate(left), np.concatenate(right))
     linked = np.flatnonzero(forest.label != np.arange(len(fps))).tolist()
     return pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[i] for i in forest.label[linked].tolist()]})
 
 
-def links(points: DataFrame, radius: int, first: int | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int, first: int | None = None, leaves: DataFrame | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fp at most radius bits apart.
 
-    points: distinct fp, or fp and size (long): then links between sizes that
-    differ by more than one needn't be found. first: bits that the first 64 may
-    differ, if the fingerprints are longer; the trees look at these alone.
+    points: distinct fp. first: bits that the first 64 may differ, if the
+    fingerprints are longer; the trees look at these alone. leaves (leaf, fp,
+    home; written): what to compare instead of the leaves of trees.
     """
     first = radius if first is None else first
-    if "size" not in points.columns:
-        points = points.withColumn("size", F.lit(0).cast("long"))
-    points = points.withColumn("w", _as_long(F.col("fp")))
-    n = points.count()
-    rows = _forest(points, first, n) if first <= NARROW else _tree(points, first)
+    if leaves is None:
+        points = points.withColumn("w", _as_long(F.col("fp")))
+        n = points.count()
+        if first <= NARROW:
+            blocks, vantages = _shape(first, n)
+            trees = _kept_blocks(first, blocks)
+            many, rows = n * len(trees) * (1 + len(trees[0]) * 2 ** (vantages - 1)), _forest(points, first, n)
+        else:
+            many, rows = 2 * n, _tree(points, first)
+    else:
+        many, rows = leaves.count(), leaves
     sizes = rows.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
-    if first <= NARROW:
-        # the leaves below HOMES share groups, and their homes are all that they are compared with
-        sizes = written(sizes.where(F.col("all") > HOMES))
-        groups = max(1, math.ceil(n * len(_masks(first, _blocks(first, n))) / GROUP))
-        apiece = [F.lit(-1).cast("long").alias(c) for c in ("h", "v")]
-        small = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(F.pmod("leaf", F.lit(groups)).alias("unit"), *apiece, "leaf", "fp", F.lit(0).alias("side"))
+    sizes = written(sizes.where(F.col("all") > HOMES))
+    # the leaves below HOMES share units
+    units = max(1, math.ceil(many / GROUP))
+    apiece = [F.lit(-1).cast("long").alias(c) for c in ("h", "v")]
+    small = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(F.pmod("leaf", F.lit(units)).alias("unit"), *apiece, "leaf", "fp", F.when(F.col("home"), 0).otherwise(1).alias("side"))
     sizes = sizes.where("homes > 0").select("leaf", F.ceil(F.col("homes") / HOMES).alias("hs"), F.ceil(F.col("all") / VISITORS).alias("vs"))
-    rows = rows.join(sizes, "leaf")
+    large = rows.join(sizes, "leaf")
     mine = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    homes = rows.where("home").select(F.col("leaf").alias("unit"), mine("hs").alias("h"), every("vs").alias("v"), "leaf", "fp", F.lit(0).alias("side"))
-    others = rows.select(F.col("leaf").alias("unit"), every("hs").alias("h"), mine("vs").alias("v"), "leaf", "fp", F.lit(1).alias("side"))
-    units = homes.unionByName(others)
-    if first <= NARROW:
-        units = units.unionByName(small)
-    return units.groupBy("unit", "h", "v").applyInPandas(lambda pdf: _compare(pdf, radius, first), "a binary, b binary")
+    homes = large.where("home").select(F.col("leaf").alias("unit"), mine("hs").alias("h"), every("vs").alias("v"), "leaf", "fp", F.lit(0).alias("side"))
+    others = large.select(F.col("leaf").alias("unit"), every("hs").alias("h"), mine("vs").alias("v"), "leaf", "fp", F.lit(1).alias("side"))
+    made = small.unionByName(homes).unionByName(others)
+    return made.groupBy("unit", "h", "v").applyInPandas(lambda pdf: _compare(pdf, radius, first), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,39 +376,33 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(labelled.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, prints: DataFrame | None = None) -> DataFrame:
-    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to, n_bytes of the text.
+def near_groups(df: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, fingerprint (hex), component_id: the least id that links lead to."""
+    prints = written(fingerprints(df, id_col, text_col, shingle, words64))
+    named = _components_of(prints, id_col, lambda points: links(points, radius, first))
+    return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
-    least: links between texts that can't be alike in so many of their shingles,
-    as one has too few, needn't be found. prints: fingerprints() of df, written,
-    if they are there already.
-    """
-    if prints is None:
-        prints = written(fingerprints(df, id_col, text_col, shingle, words64))
+
+def _components_of(prints: DataFrame, id_col: str, linked) -> DataFrame:
+    """fp, component_id (the least id that links lead to) of each different fp; linked: gives the links of a table of fp."""
     points = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    if least is None:
-        places = points.select("fp")
-    else:
-        # of two alike texts, one has least times the other's shingles or more: the steps of size are as wide
-        step = -math.log(least) * (1 + 1e-9)
-        places = prints.select("fp", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).alias("size")).distinct()
-        places = written(places)
-    labels = components(links(places, radius, first))
+    labels = components(linked(points.select("fp")))
     classes = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # written, so that the join below has an exchange on either side and a hot label can be split
     tops = written(classes.groupBy("label").agg(F.min("least").alias("component_id")))
-    named = written(classes.join(tops, "label").select("fp", "component_id"))
-    return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_bytes")
+    return written(classes.join(tops, "label").select("fp", "component_id"))
 
 
 #: Words of a shingle, 64-bit words of a fingerprint, bits that may differ over all and in the first word, for texts alike in 0.8 of their shingles.
 #: Two such texts differ in each bit with odds of acos(0.8 / 0.9) / pi = 0.15, that is in 38.8 of 256 bits (deviation 6) and 9.7 of 64
-#: (deviation 3): the radii are over three deviations wider, and what they let in too much is told apart by the shingles themselves.
-PIPELINE = {"shingle": 5, "words64": 4, "radius": 60, "first": 19}
+#: (deviation 3): the radii are almost five deviations wider, and what they let in too much is told apart by the shingles themselves.
+PIPELINE = {"shingle": 5, "words64": 4, "radius": 68, "first": 26}
 #: Least similarity of near-duplicates: shingles in both texts over shingles in either.
 ALIKE = 0.8
-#: Texts of at most so many different shingles are proposed by shared shingles as well: their bits are even too often, and vary too much.
+#: Texts of at most so many different shingles are compared wherever they share a rare one: their bits are even too often, and vary too much.
 SHORT = 40
+#: Counters of shingles, which share them by their low bits, and how many one row holds.
+COUNTERS, SLICE_OF = 1 << 19, 1 << 11
 #: A group of candidates above ROWS or BLOCK_BYTES of text is compared block by block: up to BLOCKS of them, then more of at most BLOCK_ROWS. Smaller groups share units of about ROWS.
 ROWS, BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 256, 8, 2048, 4 << 20
 #: Columns of the matrix of rows and shingles that are multiplied at once.
@@ -388,7 +436,7 @@ def _alike(pdf: pd.DataFrame, id_col: str, text_col: str, shingle: int, least: f
     forest = _Forest(len(ids))
     for _, rows in pdf.groupby("group", sort=False):
         node = np.fromiter(map(at.__getitem__, rows[id_col]), np.int64, len(rows))
-        sets = [_distinct(list(_hashes(t or "", shingle))) for t in rows[text_col]]
+        sets = [np.unique(shingles(t or "", shingle)) for t in rows[text_col]]
         side = rows["side"].to_numpy()
         home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(other):
@@ -429,14 +477,110 @@ def alike(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: st
     return units.groupBy("unit", "split", "h", "v").applyInPandas(lambda pdf: _alike(pdf, id_col, text_col, shingle, least), schema)
 
 
+def shingles(text: str, k: int) -> np.ndarray:
+    """A 64-bit hash of each k-word shingle in order: a polynomial over its bytes, mixed; all in one pass over the text."""
+    words = text.encode("utf-8").lower().split()  # bytes: lower() and split() know ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    k = min(k, len(ends))
+    stops = ends[k - 1 :]
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(stops)]
+    out, i = np.empty(len(stops), np.uint64), 0
+    while i < len(stops):  # slices of bounded bytes
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + SLICE, "right")))
+        part = raw[starts[i] : stops[j - 1]]
+        up, down = _powers() if len(part) <= SLICE else _powers(1 << len(part).bit_length())
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[: len(part)], dtype=np.uint64, out=total[1:])
+        a, z = starts[i:j] - starts[i], stops[i:j] - starts[i]
+        out[i:j] = (total[z] - total[a]) * up[a]
+        i = j
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def _times(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """How often the shingles of each counter occur in all texts.
+
+    Each task sends its counters in slices, which are summed in two rounds, so
+    no task meets more than a bounded share of them. Their number is fixed.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            found = [shingles(t.as_py() or "", shingle) for t in b.column(text_col)]
+            if found:
+                n += np.bincount((np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTERS // SLICE_OF), pa.int32()), pa.array([x.tobytes() for x in n.reshape(-1, SLICE_OF)], pa.binary())], ["slice", "n"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(SLICE_OF, np.int64)
+        for x in pdf["n"]:
+            n += np.frombuffer(x, np.int64)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "n": [n.tobytes()]})
+
+    rows = in_batches(df.select(text_col), count, "slice int, n binary").withColumn("part", F.floor(F.spark_partition_id() / 1024))
+    for by in (["slice", "part"], ["slice"]):
+        rows = rows.groupBy(*by).applyInPandas(add, "slice int, n binary")
+    out = np.zeros((COUNTERS // SLICE_OF, SLICE_OF), np.int64)
+    for r in rows.collect():
+        out[r.slice] = np.frombuffer(r.n, np.int64)
+    out = out.ravel()
+    return (out >> max(0, int(out.max()).bit_length() - 31)).astype(np.int32)
+
+
+def near_prints(df: DataFrame, times: np.ndarray, least: float, id_col: str, text_col: str, shingle: int, words64: int) -> DataFrame:
+    """id, fp (of the different shingles), n_bytes, same, few and lead of each row.
+
+    same: a 128-bit digest of the set of shingles. few: all shingles of a text so short that it or one alike has at most SHORT,
+    else null. lead: of a longer text's n shingles the first n - ceil(least * n) + 1
+    in one order for all texts, by how often the shingle's counter was met: two
+    texts alike in least share one of them, whatever the order, and the rare ones
+    come first.
+    """
+    more = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("few", "lead")]
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("same", T.BinaryType()), *more])
+    most = math.floor(SHORT / least + 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, same, few, lead = [], [], [], []
+            for t in b.column(text_col):
+                once = np.unique(shingles(t.as_py() or "", shingle))
+                n = len(once)
+                fp.append(_bits((once[at : at + SHINGLES] for at in range(0, n, SHINGLES)), words64))
+                same.append(hashlib.blake2b(once.tobytes(), digest_size=16).digest())
+                few.append(once.view(np.int64) if n <= most else None)
+                order = np.argsort(times[(once & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+                lead.append(once[order[: n - math.ceil(least * n - 1e-9) + 1]].view(np.int64) if n > SHORT else None)
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (few, lead)]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, pa.binary()), b.column("n_bytes"), pa.array(same, pa.binary()), *arrays], schema.names)
+
+    return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
+
+
+def lead_leaves(prints: DataFrame) -> DataFrame:
+    """(leaf, fp, home): a leaf for each shingle that leads texts of several fingerprints."""
+    rows = prints.select(F.xxhash64("fp").alias("w"), F.explode("lead").alias("leaf"))
+    shared = written(rows.groupBy("leaf").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a < b").select("leaf"))
+    rows = rows.join(shared, "leaf", "left_semi").distinct()
+    fps = prints.select(F.xxhash64("fp").alias("w"), "fp").distinct()
+    return rows.join(fps, "w").select("leaf", "fp", F.lit(True).alias("home"))
+
+
 def short_groups(prints: DataFrame, least: float, id_col: str = "doc_id") -> DataFrame:
     """Groups (id, component_id, n_bytes), one for each shingle, in which every pair of short texts meets that is alike in so many of its shingles.
 
-    prints: id, n_bytes, few (see fingerprints()). Of n shingles in one order for
+    prints: id, n_bytes, few (see near_prints()), not null. Of n shingles in one order for
     all texts, alike texts share one of the first n - ceil(least * n) + 1; the
     order has rare shingles first, so that common ones propose little.
     """
-    texts = prints.where(F.col(id_col).isNotNull()).select(id_col, "n_bytes", F.xxhash64("few").alias("t"), F.size("few").alias("n"), "few").dropDuplicates([id_col, "t"])
+    texts = prints.select(id_col, "n_bytes", F.xxhash64("few").alias("t"), F.size("few").alias("n"), "few").dropDuplicates([id_col, "t"])
     rows = written(texts.select(id_col, "n_bytes", "t", "n", F.explode("few").alias("s")))
     common = written(rows.groupBy("s").agg(F.count("*").alias("times")).where("times > 1"))
     rank = F.row_number().over(Window.partitionBy(id_col, "t").orderBy(F.coalesce("times", F.lit(1)), "s"))
@@ -447,16 +591,27 @@ def short_groups(prints: DataFrame, least: float, id_col: str = "doc_id") -> Dat
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, **options) -> DataFrame:
     """df with one row of each group of near-duplicates: the one with the least id. Rows without an id stay.
 
-    Fingerprints of the different shingles propose groups of candidates, and of
-    short texts the shingles themselves; in them the texts are compared. Links
-    are transitive, by texts whose similarity is least or more.
+    Texts with one set of shingles are copies, linked to the least id of them,
+    which alone goes on. Candidates share a leading shingle (no pair alike in
+    least misses that) and, if they are long, have fingerprints within the
+    radius. In each group of candidates the texts are compared. Links are
+    transitive, by texts whose similarity is least or more; rows that repeat an
+    id are one document. Texts without words are copies of each other.
     """
-    apart(df, "__drop")
     options = PIPELINE | options
-    prints = written(fingerprints(df, id_col, text_col, options["shingle"], options["words64"], math.floor(SHORT / least + 1e-9)))
-    proposed = near_groups(df, id_col=id_col, text_col=text_col, least=least, prints=prints, **options)
-    proposed = proposed.select(id_col, F.concat(F.lit("f"), F.col("component_id").cast("string")).alias("component_id"), "n_bytes")
-    proposed = proposed.unionByName(short_groups(prints, least, id_col))
-    nodes = components(alike(df, proposed, id_col, text_col, options["shingle"], least))
-    gone = nodes.where("node != label").select(F.col("node").alias("__drop"))
-    return df.join(gone, F.col(id_col) == F.col("__drop"), "left_anti")
+    shingle = options["shingle"]
+    prints = written(near_prints(df, _times(df, text_col, shingle), least, id_col, text_col, shingle, options["words64"]))
+    named_ = prints.where(F.col(id_col).isNotNull())
+    tops = written(named_.groupBy("same").agg(F.min(id_col).alias("top")))
+    copies = written(named_.select(id_col, "same").join(tops, "same").where(F.col(id_col) != F.col("top")).select(id_col, "same", "top").distinct())
+    first_ones = lambda *c: named_.select(id_col, "same", *c).join(copies.select(id_col, "same"), [id_col, "same"], "left_anti")
+    long = prints.where("lead is not null")
+    leaves = written(lead_leaves(long))
+    groups = _components_of(long, id_col, lambda points: links(points, options["radius"], options["first"], leaves))
+    proposed = first_ones("fp", "n_bytes").join(groups, "fp").select(id_col, F.concat(F.lit("f"), F.col("component_id").cast("string")).alias("component_id"), "n_bytes")
+    proposed = proposed.unionByName(short_groups(first_ones("n_bytes", "few").where("few is not null"), least, id_col))
+    edges = copies.select(F.col(id_col).alias("a"), F.col("top").alias("b")).unionByName(alike(df, proposed, id_col, text_col, shingle, least))
+    nodes = components(edges)
+    drop = unused(df, "__drop")
+    gone = nodes.where("node != label").select(F.col("node").alias(drop))
+    return df.join(gone, F.col(id_col) == F.col(drop), "left_anti")
