@@ -378,10 +378,13 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
     more = [T.StructField("kept_text", T.StringType())] if keep_text else []
 
+    names = [_ID, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            start, held, out = 0, 0, [[] for _ in names[1:]]
             for i in range(b.num_rows):
                 data = unpack.decompress(b.column("packed")[i].as_py())
                 spans: list[list[int]] = []
@@ -395,10 +398,12 @@ def _cut_rows(docs: DataFrame, keep_text: bool) -> DataFrame:
                     kept.append(data[at:a])
                     at = z
                 rest = b"".join([*kept, data[at:]])
-                for column, value in zip(out, (len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", errors="replace"))):
+                for column, value in zip(out, (len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", errors="replace") if keep_text else None)):
                     column.append(value)
-            arrays = [b.column(_ID), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(out[4])] if keep_text else [])], [_ID, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])])
+                held += len(rest)
+                if keep_text and held > BATCH or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(_ID).slice(start, i + 1 - start), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
+                    start, held, out = i + 1, 0, [[] for _ in names[1:]]
 
     return in_batches(docs, run, T.StructType([docs.schema[_ID], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *more]))
 
