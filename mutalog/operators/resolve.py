@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mutalog.sources.folders import written
+
 
 def latest(log: DataFrame, keys: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
     """The newest row of each key, all columns kept.
@@ -74,9 +76,10 @@ def as_of(log: DataFrame, gen: int) -> DataFrame:
     return log.where(F.col("gen") <= gen)
 
 
-def ordered(entries: DataFrame, descending: bool = False) -> DataFrame:
-    """Total order by key: a range-partitioned sort."""
-    return entries.orderBy(F.desc("key") if descending else F.asc("key"))
+def ordered(entries: DataFrame, descending: bool = False, by: Column | None = None) -> DataFrame:
+    """Total order by key, or by another order of keys given as an expression: a range-partitioned sort."""
+    by = F.col("key") if by is None else by
+    return entries.orderBy(by.desc() if descending else by.asc())
 
 
 #: Ranges that ranked() cuts the keys into, and keys that it draws to place the cuts.
@@ -96,8 +99,9 @@ def ranked(entries: DataFrame, descending: bool = False) -> DataFrame:
 
     No task sees all entries: rows are numbered inside RANGES ranges of keys, and
     the sizes of the ranges before are added. Cuts come from the keys of the
-    least hashes, so every evaluation places them alike.
+    least hashes. The entries are written first, as they are read three times.
     """
+    entries = written(entries)
     drawn = [r.key for r in entries.select("key").orderBy(F.xxhash64("key"), "key").limit(DRAWN).collect()]
     drawn.sort()
     cuts = sorted({drawn[len(drawn) * i // RANGES] for i in range(1, RANGES)}) if drawn else []

@@ -13,8 +13,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutalog.functions.codec import component_bounds, encode, padded_key
+from mutalog.functions.codec import component_bounds, decode, encode, padded_key
 from mutalog.operators import compact, resolve
+from mutalog.sources.folders import fresh
+from mutalog.sources.store import Snapshot, Store
 
 NOW = datetime(2024, 1, 31)
 LOW, HIGH = "k0000000007", "k0000000101"
@@ -46,7 +48,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = _table(spark, sf_dir, "customer").select(padded_key(F.col("c_custkey")).alias("key")).where(F.col("key") < "k0000000040").distinct()
+    wanted = _table(spark, sf_dir, "customer").select(padded_key(F.col("c_custkey")).alias("key")).distinct()
     return _pairs(resolve.multi_get(event_log(spark, sf_dir), wanted))
 
 
@@ -59,9 +61,114 @@ def _gen_merge(log: DataFrame) -> DataFrame:
     return resolve.latest(resolve.per_generation(log)).select("key", "seq", "gen", "value")
 
 
+def _newest_gen(log: DataFrame) -> int:
+    return log.agg(F.coalesce(F.max("gen"), F.lit(0))).first()[0]
+
+
+def _snapshot_gen(log: DataFrame) -> DataFrame:
+    """What was visible when half of the generations were there."""
+    return _pairs(resolve.scan(resolve.as_of(log, _newest_gen(log) // 2)))
+
+
 def _compact_partial(log: DataFrame) -> DataFrame:
-    merged = compact.compact_partial(log, F.col("gen").between(3, 5))
-    return _pairs(resolve.scan(merged))
+    """The log, with its middle half of generations merged: what is there, deletes included."""
+    top = _newest_gen(log)
+    return compact.compact_partial(log, F.col("gen").between(top // 4, 3 * top // 4)).select("key", "seq", "gen", "value")
+
+
+def _point_get_deleted(log: DataFrame) -> DataFrame:
+    """The least deleted key: how many versions it has, and how many rows a point read of it gives."""
+    key = resolve.tombstones(log).agg(F.min("key")).first()[0]
+    read = resolve.point_get(log, key).agg(F.count("*").alias("found"))
+    return log.where(F.col("key") == F.lit(key)).agg(F.first("key").alias("key"), F.count("*").alias("versions")).crossJoin(read)
+
+
+#: Flushes that load `events` into a store, oldest events first.
+FLUSHES = 4
+
+
+def _binary(log: DataFrame) -> DataFrame:
+    return log.select(encode("key").alias("key"), encode(F.col("value").cast("string")).alias("value"), "seq", "expires_at")
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select(decode("key").alias("key"), decode("value").cast("double").alias("value"))
+
+
+def _quarter(log: DataFrame) -> DataFrame:
+    """log with part, its events in FLUSHES stretches of about as many numbers."""
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return log.withColumn("part", F.floor(F.col("seq") * FLUSHES / (top + 1)).cast("int"))
+
+
+def _loaded(spark: SparkSession, sf_dir: str, parts: range = range(FLUSHES), **options) -> Store:
+    """A store in the shared folder with a generation for each of these parts of events."""
+    store, log = Store(spark, fresh(spark), **options), _quarter(event_log(spark, sf_dir))
+    for part in parts:
+        store.upsert(_binary(log.where(F.col("part") == part)), order=F.col("seq"))
+        store.flush()
+    return store
+
+
+def _store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(_loaded(spark, sf_dir).get(LOW.encode(), HIGH.encode()))
+
+
+def _store_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations with the newest events on top, not flushed."""
+    store = _loaded(spark, sf_dir, range(FLUSHES - 1))
+    store.upsert(_binary(_quarter(event_log(spark, sf_dir)).where(F.col("part") == FLUSHES - 1)), order=F.col("seq"))
+    return _entries(store.get())
+
+
+def _store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted without what has expired, then flushed into again, and compacted with what was staged."""
+    store = _loaded(spark, sf_dir, range(FLUSHES - 1))
+    store.compact()
+    store.upsert(_binary(_quarter(event_log(spark, sf_dir)).where(F.col("part") == FLUSHES - 1)), order=F.col("seq"))
+    store.compact(now=NOW, include_staged=True)
+    return _entries(store.snapshot().all())
+
+
+def _store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that was published when half of the events were in, read after a compaction."""
+    store = _loaded(spark, sf_dir)
+    store.compact()
+    return _entries(store.snapshot(FLUSHES // 2).all())
+
+
+def _store_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two families of one store, with Bloom filters and other compression, read apart and put together."""
+    root, log, parts = fresh(spark), event_log(spark, sf_dir), []
+    for family, odd in (("even", 0), ("odd", 1)):
+        store = Store(spark, root, family=family, bloom=True, compression="snappy")
+        store.upsert(_binary(log.where(F.col("seq") % 2 == odd)), order=F.col("seq"))
+        store.flush()
+        parts.append(_entries(store.get(now=NOW)).withColumn("family", F.lit(family)))
+    return parts[0].unionByName(parts[1])
+
+
+def _store_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in, then the keys of one market segment's customers deleted, some of which were never there."""
+    store = _loaded(spark, sf_dir)
+    gone = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(encode(padded_key(F.col("c_custkey"))).alias("key"))
+    store.delete(gone)
+    store.flush()
+    return _entries(store.get())
+
+
+def _store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(encode(padded_key(F.col("c_custkey"))).alias("key"))
+    return _entries(_loaded(spark, sf_dir).view().multi_get(wanted, NOW))
+
+
+def _store_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of each generation against what the files hold."""
+    store = _loaded(spark, sf_dir)
+    snapshot = store.snapshot()
+    said = spark.createDataFrame([(g.id, g.n_rows, g.n_tombstones, bytes.fromhex(g.min_key).decode(), bytes.fromhex(g.max_key).decode()) for g in snapshot.manifest.generations], "gen long, n_rows long, n_tombstones long, min_key string, max_key string")
+    held = Snapshot(spark, snapshot.manifest).log().groupBy("gen").agg(F.count("*").alias("held"))
+    return said.join(held, "gen")
 
 
 def _composite_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_all_from": _kv(lambda g: _pairs(resolve.scan(g, HIGH))),
     "kv_all_to": _kv(lambda g: _pairs(resolve.scan(g, None, LOW))),
     "kv_point_get": _kv(lambda g: _pairs(resolve.point_get(g, "k0000000011"))),
-    "kv_point_get_deleted": _kv(lambda g: _pairs(resolve.point_get(g, "k0000000099999"))),
+    "kv_point_get_deleted": _kv(_point_get_deleted),
     "kv_multi_get": _multi_get,
     "kv_prefix_count": _kv(lambda g: resolve.scan(g, "k00000000", "k00000001").agg(F.count("*").alias("n"))),
     "kv_ceiling": _kv(lambda g: _pairs(resolve.ceiling(g, "k0000000050"))),
@@ -115,7 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_ttl_all": _kv(lambda g: _pairs(resolve.scan(g, now=NOW))),
     "kv_ttl_range": _kv(lambda g: _pairs(resolve.scan(g, LOW, HIGH, NOW))),
     "kv_ttl_point_get": _kv(lambda g: _pairs(resolve.point_get(g, "k0000000011", NOW))),
-    "kv_snapshot_gen": _kv(lambda g: _pairs(resolve.scan(resolve.as_of(g, 4)))),
+    "kv_snapshot_gen": _kv(_snapshot_gen),
     "kv_gen_merge": _kv(_gen_merge),
     "kv_compact_full": _kv(lambda g: compact.compact_full(g).select("key", "seq", "gen", "value")),
     "kv_compact_purge": _kv(lambda g: compact.compact_full(g, NOW).select("key", "seq", "gen", "value")),
@@ -130,6 +237,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_component_scan": _component_scan,
     "kv_orders_latest_per_customer": _orders_latest,
     "kv_lineitem_latest": _lineitem_latest,
+    "kv_store_range": _store_range,
+    "kv_store_staged": _store_staged,
+    "kv_store_compacted": _store_compacted,
+    "kv_store_as_of": _store_as_of,
+    "kv_store_family": _store_family,
+    "kv_store_deleted": _store_deleted,
+    "kv_store_multi_get": _store_multi_get,
+    "kv_store_generations": _store_generations,
 }
 
 _CTE = """with log as (
@@ -149,6 +264,9 @@ def _sql(body: str, where: str = "") -> str:
     return _CTE.format(where=where, now=_NOW_SQL) + body
 
 
+_PARTS = f", parts as (select *, cast(floor(seq * {FLUSHES} / ((select max(seq) from log) + 1)) as int) as part from log)"
+_BUILDING = "(select 'k' || lpad(cast(c_custkey as varchar), 10, '0') from customer where c_mktsegment = 'BUILDING')"
+
 ORACLES: dict[str, str] = {
     "kv_all": _sql("select key, value from live"),
     "kv_range": _sql(f"select key, value from live where key >= '{LOW}' and key < '{HIGH}'"),
@@ -156,8 +274,8 @@ ORACLES: dict[str, str] = {
     "kv_all_from": _sql(f"select key, value from live where key >= '{HIGH}'"),
     "kv_all_to": _sql(f"select key, value from live where key < '{LOW}'"),
     "kv_point_get": _sql("select key, value from live where key = 'k0000000011'"),
-    "kv_point_get_deleted": _sql("select key, value from live where key = 'k0000000099999'"),
-    "kv_multi_get": _sql("select key, value from live where key < 'k0000000040' and key in (select 'k' || lpad(cast(c_custkey as varchar), 10, '0') from customer)"),
+    "kv_point_get_deleted": _sql("select key, count(*) as versions, (select count(*) from live where key = l.key) as found from log l where key = (select min(key) from newest where value is null) group by key"),
+    "kv_multi_get": _sql("select key, value from live where key in (select 'k' || lpad(cast(c_custkey as varchar), 10, '0') from customer)"),
     "kv_prefix_count": _sql("select count(*) as n from live where key >= 'k00000000' and key < 'k00000001'"),
     "kv_ceiling": _sql("select key, value from live where key >= 'k0000000050' order by key limit 1"),
     "kv_ordered_rank": _sql("select cast(row_number() over (order by key) as bigint) as pos, key, value from live"),
@@ -165,11 +283,13 @@ ORACLES: dict[str, str] = {
     "kv_ttl_all": _sql("select key, value from fresh"),
     "kv_ttl_range": _sql(f"select key, value from fresh where key >= '{LOW}' and key < '{HIGH}'"),
     "kv_ttl_point_get": _sql("select key, value from fresh where key = 'k0000000011'"),
-    "kv_snapshot_gen": _sql("select key, value from live", " where event_id < 5000"),
+    "kv_snapshot_gen": _sql("select key, value from live", " where floor(event_id / 1000) <= floor((select floor(max(event_id) / 1000) from events) / 2)"),
     "kv_gen_merge": _sql("select key, seq, gen, value from newest"),
     "kv_compact_full": _sql("select key, seq, gen, value from live"),
     "kv_compact_purge": _sql("select key, seq, gen, value from fresh"),
-    "kv_compact_partial": _sql("select key, value from live"),
+    "kv_compact_partial": _sql("""
+, g as (select *, gen between floor(top / 4) and floor(3 * top / 4) as chosen from log, (select max(gen) as top from log) t)
+select key, seq, gen, value from (select *, row_number() over (partition by key, chosen order by seq desc) as rn from g) r where rn = 1 or not chosen"""),
     "kv_tombstones": _sql("select key, seq from newest where value is null"),
     "kv_shadowed": _sql("select gen, count(*) as n from ranked where rn > 1 group by gen"),
     "kv_gen_stats": _sql("select gen, min(key) as min_key, max(key) as max_key, count(*) as n_rows, cast(sum(case when value is null then 1 else 0 end) as bigint) as n_tombstones, min(seq) as min_seq, max(seq) as max_seq from log group by gen"),
@@ -180,4 +300,12 @@ ORACLES: dict[str, str] = {
     "kv_component_scan": "select c_custkey, c_acctbal from customer where c_mktsegment = 'BUILDING'",
     "kv_orders_latest_per_customer": "select o_custkey, o_orderkey, o_orderstatus, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) t where rn = 1",
     "kv_lineitem_latest": "select l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_extendedprice desc, l_quantity desc) as rn from lineitem) t where rn = 1",
+    "kv_store_range": _sql(f"select key, value from live where key >= '{LOW}' and key < '{HIGH}'"),
+    "kv_store_staged": _sql("select key, value from live"),
+    "kv_store_compacted": _sql("select key, value from fresh"),
+    "kv_store_as_of": _sql(f"{_PARTS} select key, value from (select *, row_number() over (partition by key order by seq desc) as rn from parts where part < {FLUSHES // 2}) x where rn = 1 and value is not null"),
+    "kv_store_family": _sql(f", f as (select *, row_number() over (partition by key, seq % 2 order by seq desc) as rn from log) select key, value, case when seq % 2 = 0 then 'even' else 'odd' end as family from f where rn = 1 and value is not null and expires_at > {_NOW_SQL}"),
+    "kv_store_deleted": _sql(f"select key, value from live where key not in {_BUILDING}"),
+    "kv_store_multi_get": _sql(f"select key, value from fresh where key in {_BUILDING}"),
+    "kv_store_generations": _sql(f"{_PARTS}, r as (select *, row_number() over (partition by part, key order by seq desc) as rn from parts) select cast(part as bigint) as gen, count(*) as n_rows, cast(sum(case when value is null then 1 else 0 end) as bigint) as n_tombstones, min(key) as min_key, max(key) as max_key, count(*) as held from r where rn = 1 group by part"),
 }

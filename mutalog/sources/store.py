@@ -1,7 +1,8 @@
 """A store: staged mutations, sorted generations, snapshots and compaction.
 
-Writers stage DataFrames and flush() them as one Parquet generation sorted by
-key; nothing is visible to other sessions before its manifest is published.
+Writers stage DataFrames, each written once as it comes, and flush() merges them
+into one Parquet generation sorted by key; nothing is visible to other sessions
+before its manifest is published.
 Readers pin one manifest, so a scan never changes under them. Everything that
 touches rows is a DataFrame; the driver handles manifests alone.
 """
@@ -71,13 +72,17 @@ class Store:
         self.flush_threshold_bytes, self.target_file_bytes = flush_threshold_bytes, target_file_bytes
         self.options = {"compression": compression} | ({"parquet.bloom.filter.enabled#key": "true"} if bloom else {})
         self._staged: list[DataFrame] = []
+        self._staged_paths: list[str] = []
         self._staged_bytes = 0
         self._closed = False
 
     # -- writes ---------------------------------------------------------------------------------
 
     def upsert(self, rows: DataFrame, ttl: timedelta | None = None, now: datetime | None = None, order: Column | None = None) -> None:
-        """Stages key, value (value NULL deletes). order tells versions of one key in rows apart; without it keys must be unique."""
+        """Stages key, value (value NULL deletes). order tells versions of one key in rows apart; without it keys must be unique.
+
+        The rows are evaluated here, once, and written below the store's root.
+        """
         if self._closed:
             raise RuntimeError("the store is closed")
         if ttl is not None:
@@ -88,11 +93,14 @@ class Store:
             rows = rows.withColumn("expires_at", F.lit(None).cast("timestamp"))
         seq = F.lit(0) if order is None else order
         rows = rows.select(F.col("key").cast("binary"), F.col("value").cast("binary"), seq.cast("long").alias("seq"), F.lit(0).cast("long").alias("gen"), "expires_at")
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.options(**self.options).parquet(path)
+        rows = self.spark.read.schema(MUTATION).parquet(path)
         self._staged.append(rows)
-        if self.flush_threshold_bytes is not None:
-            self._staged_bytes += rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
-            if self._staged_bytes > self.flush_threshold_bytes:
-                self.flush()
+        self._staged_paths.append(path)
+        self._staged_bytes += rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
+        if self.flush_threshold_bytes is not None and self._staged_bytes > self.flush_threshold_bytes:
+            self.flush()
 
     def upsert_strings(self, pairs: Iterable[tuple[str, str | None]], **options) -> None:
         rows = self.spark.createDataFrame(list(pairs), "key string, value string")
@@ -108,6 +116,11 @@ class Store:
         rows.repartitionByRange(n, "key").sortWithinPartitions("key").write.options(**self.options).parquet(path)
         return path, self.spark.read.schema(MUTATION).parquet(path)
 
+    def _unstage(self) -> None:
+        for path in self._staged_paths:
+            self.manifests.delete(path)
+        self._staged, self._staged_paths, self._staged_bytes = [], [], 0
+
     def _describe(self, gen: int, path: str, rows: DataFrame) -> Generation:
         s = rows.agg(
             F.count("*").alias("n"),
@@ -127,13 +140,13 @@ class Store:
         """
         manifest = self.manifests.read()
         if batch and manifest.batches.get(batch[0], -1) >= batch[1]:
-            self._staged, self._staged_bytes = [], 0
+            self._unstage()
             return manifest
         if not self._staged:
             return manifest
         log = reduce(DataFrame.unionByName, [df.withColumn("gen", F.lit(i).cast("long")) for i, df in enumerate(self._staged)])
         newest = resolve.latest(log).withColumn("gen", F.lit(manifest.next_gen).cast("long"))
-        path, written = self._write(newest, self._staged_bytes or self.target_file_bytes)
+        path, written = self._write(newest, self._staged_bytes)
         while True:
             made = self._describe(manifest.next_gen, path, written)
             generations = (*manifest.generations, made) if made.n_rows else manifest.generations
@@ -148,7 +161,7 @@ class Store:
                 manifest, old = self.manifests.read(), path
                 path, written = self._write(written.withColumn("gen", F.lit(manifest.next_gen).cast("long")), made.n_bytes)
                 self.manifests.delete(old)
-        self._staged, self._staged_bytes = [], 0
+        self._unstage()
         return manifest
 
     def compact(self, now: datetime | None = None, include_staged: bool = False) -> Manifest:
