@@ -1,22 +1,26 @@
 """Quality classifier by positive-unlabelled learning.
 
 Positives are the documents that labels trust; everything else is unlabelled
-and may be either. With class prior p (the share of positives among the labels
-that may be learnt from) the risk of a scorer g is
+and may be either; labels of bad documents are not used. With class prior p the
+risk of a scorer g is
 
     p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)])
 
 whose second term, the risk on negatives, is kept from going below zero. The
 scorer is additive: each feature of the text is cut into bins, each bin has a
 weight. It is fitted on bounded samples (POSITIVES and UNLABELLED rows, the
-least hashes of their ids), then scores every whole text where it is read.
+least hashes of their ids), then scores every whole text where it is read. The
+prior comes from the same samples: the share of unlabelled rows above a cut of a
+first scorer, over the share of positives above it, is the prior plus something
+that is not negative, so the least ratio over the cuts estimates it.
 
 Features come from the text alone: no id, source, language or label.
 
 Defined results: null and empty texts are scored (all features 0); labels that
 are null, and documents without an id, are not learnt from but scored; repeated
-labels of a document count once, as the least; no positives at all: every score
-is the prior.
+labels of a document count once, as the least; of documents that repeat an id
+the least text may be learnt from; no positives at all: every score is the
+prior, 0.5; a column of the caller named score goes on as score_input.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from mutalog.llm.shared import apart, in_batches
 POSITIVES, UNLABELLED = 8_000, 16_000
 BINS, STEPS, RATE, DECAY = 24, 600, 0.05, 1e-3
 THRESHOLD = 0.7
-FEW = 0.003
+#: Share of trusted positives below the model's cut, and least share of positives above a cut that the prior is read from.
+FEW, ABOVE = 0.003, 0.5
 _SYMBOLS = np.array([chr(b) in "#$%&*+<=>@\\^_`{}~" for b in range(256)])
 _MARKS = np.array([chr(b) in ".,;:?'\"()-" for b in range(256)])
 _DIGITS = np.array([48 <= b < 58 for b in range(256)])
@@ -92,6 +97,7 @@ class Model:
     weights: np.ndarray  # features x BINS
     bias: float
     prior: float
+    cut: float = THRESHOLD  # the score that all trusted positives but FEW reach, at most THRESHOLD
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.bias)
@@ -110,16 +116,8 @@ def _hot(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative risk with the logistic loss, by Adam on the whole samples."""
-    d = len(NAMES)
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros((d, BINS - 1)), np.zeros((d, BINS)), float(np.log(prior / (1 - prior))), prior)
-    both = np.concatenate([positive, unlabelled])
-    # cuts lie where either tail is thin as well: junk is rare
-    at = np.concatenate([[0.002, 0.01, 0.03], np.linspace(0.06, 0.94, BINS - 7), [0.97, 0.99, 0.998]])
-    edges = np.quantile(both, at, axis=0).T.copy()
-    p, u = _hot(edges, positive), _hot(edges, unlabelled)
+def _minimised(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias with the least non-negative risk under the logistic loss, by Adam on all rows of p and u at once."""
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -128,7 +126,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         gp, gu = p @ w + b, u @ w + b
         negative = loss(-gu).mean() - prior * loss(-gp).mean()
         # slopes of the losses by g
-        on_p, on_u = -prior * sigmoid(-gp) / len(p), np.zeros(len(u))
+        on_p = -prior * sigmoid(-gp) / len(p)
         sign = 1.0 if negative >= 0 else -1.0  # below zero: walk back up
         if sign < 0:
             on_p = np.zeros(len(p))
@@ -139,42 +137,66 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         v = 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
-    # a constant shift, which changes no order: THRESHOLD falls where all but FEW of the trusted positives are above it
-    b += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(p @ w + b, FEW)
-    return Model(edges, w.reshape(d, BINS).astype(np.float64), float(b), prior)
+    return w, float(b)
+
+
+def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows: the least ratio of shares above a cut, on the rows that a first scorer hasn't seen."""
+    w, b = _minimised(p[::2], u[::2], 0.5)
+    gp, gu = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
+    if not len(gp) or not len(gu):
+        return 0.5
+    cuts = np.unique(np.quantile(gp, np.linspace(0, 1 - ABOVE, 200)))
+    above = lambda g: 1 - np.searchsorted(g, cuts) / len(g)
+    return float(np.clip((above(gu) / above(gp)).min(), 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The model of the least non-negative risk; prior: the share of positives among the unlabelled, else estimated."""
+    d = len(NAMES)
+    if not len(positive) or not len(unlabelled):
+        prior = 0.5 if prior is None else prior
+        return Model(np.zeros((d, BINS - 1)), np.zeros((d, BINS)), float(np.log(prior / (1 - prior))), prior, 0.0)
+    both = np.concatenate([positive, unlabelled])
+    # cuts lie where either tail is thin as well: junk is rare
+    at = np.concatenate([[0.002, 0.01, 0.03], np.linspace(0.06, 0.94, BINS - 7), [0.97, 0.99, 0.998]])
+    edges = np.quantile(both, at, axis=0).T.copy()
+    p, u = _hot(edges, positive), _hot(edges, unlabelled)
+    prior = class_prior(p, u) if prior is None else prior
+    w, b = _minimised(p, u, prior)
+    cut = 1 / (1 + np.exp(-np.clip(np.quantile(p @ w + b, FEW), -30, 30)))
+    return Model(edges, w.reshape(d, BINS).astype(np.float64), b, prior, float(min(cut, THRESHOLD)))
 
 
 def _sampled(ids: DataFrame, n: int, id_col: str) -> DataFrame:
-    return ids.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(n)
+    return ids.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(n)
 
 
 def _features_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the sampled documents: at most as many rows as the sample has."""
-    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")
+    """Features of the sampled documents, ordered by a hash of the id: one row an id, so at most as many as the sample has."""
+    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [features(t.as_py() or "") for t in b.column(text_col)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(made, pa.list_(pa.float64()))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(made, pa.list_(pa.float64()))], ["at", "x"])
 
-    rows = in_batches(texts, run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
-    rows.sort(key=lambda r: (r.id, r.x))
+    rows = in_batches(texts.select(F.xxhash64(id_col, F.lit(11)).alias("at"), text_col), run, "at long, x array<double>").collect()
+    rows.sort()
     return np.array([r.x for r in rows]).reshape(len(rows), len(NAMES))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """labels: id and quality (1: trusted positive). Rows held out are neither counted nor sampled."""
-    usable = labels.where(~held_out(id_col)).groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality is not null")
-    n, positives = usable.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
-    prior = min(max(positives / n if n else 0.5, 0.01), 0.99)
+    usable = labels.where(~held_out(id_col)).groupBy(id_col).agg(F.min("quality").alias("quality"))
     trusted = _sampled(usable.where("quality = 1"), POSITIVES, id_col)
     open_ = _sampled(docs.where(~held_out(id_col)), UNLABELLED, id_col)
-    return fit(_features_of(docs, trusted, id_col, text_col), _features_of(docs, open_, id_col, text_col), prior)
+    return fit(_features_of(docs, trusted, id_col, text_col), _features_of(docs, open_, id_col, text_col))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without its text, with score."""
-    apart(docs, "score")
+    docs = apart(docs, "score")
     kept = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*(f for f in docs.schema if f.name != text_col), T.StructField("score", T.DoubleType())])
 
@@ -186,8 +208,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return in_batches(docs, run, schema)
 
 
-def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the model takes for good, all their columns."""
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """The rows of docs that the model takes for good, all their columns; threshold: else the model's cut, so that hardly any good text goes."""
+    threshold = model.cut if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
