@@ -86,10 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": corpus_pipeline.run}
 
 
-def _mixing_sql(temperature: float = 0.7, rate: float = 0.5, iterations: int = 8, seed: int = 7) -> str:
-    """The same raking, written out round by round."""
+def _mixing_sql(temperature: float = 0.7, rate: float = 0.5, sweeps: int = 32, seed: int = 7) -> str:
+    """The same raking, written out sweep by sweep; so many leave deviations far below what is rounded away."""
     topic = "case " + " ".join(f"when {' or '.join(f'contains(t, {chr(39)}{m}{chr(39)})' for m in marks)} then '{name}'" for name, marks in mixing.TOPICS.items()) + " else 'prose' end"
-    out = f"""with rows_ as (select doc_id, source, lang, {topic} as topic, cast(len(regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+')) as bigint) as n_tokens
+    out = f"""with rows_ as (select doc_id, source, lang, {topic} as topic, cast(len(regexp_extract_all(t, '\\p{{L}}+|\\p{{N}}+|[^ \\t\\n\\v\\f\\r\\p{{L}}\\p{{N}}]+')) as bigint) as n_tokens
   from (select *, coalesce(text, '') as t from documents) x),
 c0 as (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from rows_ group by all),
 w0 as (select *, tokens as w, sum(tokens) over () as total"""
@@ -97,7 +97,7 @@ w0 as (select *, tokens as w, sum(tokens) over () as total"""
         out += f", pow(sum(tokens) over (partition by {m}), {temperature}) / (select sum(pow(x, {temperature})) from (select sum(tokens) as x from c0 group by {m})) as t_{m}"
     out += " from c0)"
     k = 0
-    for _ in range(iterations):
+    for _ in range(sweeps):
         for m in mixing.MARGINS:
             out += f",\nw{k + 1} as (select source, lang, topic, tokens, total, t_source, t_lang, t_topic, case when sum(w) over (partition by {m}) > 0 then w * t_{m} * total / sum(w) over (partition by {m}) else 0 end as w from w{k})"
             k += 1

@@ -1,36 +1,16 @@
-"""What several operators need: tables in the shared folder, and column helpers."""
+"""What several operators need: Arrow batches of bounded size, and column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mutalog.sources.folders import written as written
+
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACES = r"[ \t\n\x0B\f\r]+"
-WORDS = r"[^ \t\n\x0B\f\r]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only in local mode, as in tests, a temporary one takes its place where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="mutalog-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there and any executor can read it."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 #: Bytes of an Arrow batch: workers hold a few at a time, whatever the length of the texts.

@@ -396,13 +396,29 @@ def test_suffix_order_survives_collisions(monkeypatch):
 def test_quality_edges(docs, none, spark):
     labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0), (None, 1, 0), (9, None, None), (9, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
-    got = quality.scored(docs.drop("score"), model).collect()
-    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    got = quality.scored(docs, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got) and {r.score_input for r in got} == {r[4] for r in ROWS}
     empty = quality.train(none, labels.limit(0))
     assert {r.score for r in quality.scored(docs.drop("score"), empty).collect()} == {0.5}
     assert quality.keep_good(docs, model).columns == docs.columns
-    with pytest.raises(ValueError):
-        quality.scored(docs, model)
+
+
+def test_quality_samples_ids_once(spark):
+    """One id listed very often is one row of the sample."""
+    docs = spark.range(4000).selectExpr("if(id % 4 = 0, id, 77) as doc_id", "cast(id as string) as text")
+    ids = quality._sampled(docs, 500, "doc_id")
+    assert ids.count() == 500
+    assert quality._features_of(docs, docs.select("doc_id").distinct(), "doc_id", "text").shape == (1001, len(quality.NAMES))
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_class_prior(prior):
+    """Mixed from two classes that overlap a little, the unlabelled rows give their share of positives back."""
+    rng = np.random.default_rng(4)
+    draw = lambda n, at: rng.normal(at, 1, (n, len(quality.NAMES)))
+    n = int(6000 * prior)
+    model = quality.fit(draw(3000, 0.6), rng.permutation(np.concatenate([draw(n, 0.6), draw(6000 - n, -0.6)])))
+    assert abs(model.prior - prior) < 0.04
 
 
 def test_mixing_edges(docs, none):
@@ -410,15 +426,15 @@ def test_mixing_edges(docs, none):
     assert len(got) == len(ROWS) and all(0 <= r.p <= 1 for r in got)
     assert {r.kept for r in got if r.doc_id == 2} <= {True, False} and len({r.kept for r in got if r.doc_id == 2}) == 1
     assert mixing.mix(none).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("p", F.lit(1)))
+    clash = mixing.mix(docs.withColumns({"p": F.lit(9), "topic": F.lit("mine"), "kept": F.lit(None).cast("int")}))
+    assert rows(clash, "doc_id", "p", "kept") == rows(mixing.mix(docs), "doc_id", "p", "kept") and {(r.p_input, r.topic_input, r.kept_input) for r in clash.collect()} == {(9, "mine", None)}
 
 
 def test_raking_meets_its_targets(spark, docs):
     cells = [(s, la, t, 10 + 7 * i * i) for i, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in "xy" for t in "pq")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     share = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "source string, share double")
-    made = mixing.rake(df, 0.0, 12, {"source": share})
+    made = mixing.rake(df, 0.0, {"source": share})
     total = sum(c[3] for c in cells)
     sums = {r[0]: r[1] / total for r in made.groupBy("source").agg(F.sum("weight")).collect()}
     assert sums == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.2}, abs=1e-6)
@@ -427,6 +443,26 @@ def test_raking_meets_its_targets(spark, docs):
     assert sum(r.tokens * r.p for r in p) == pytest.approx(0.4 * total) and max(r.p for r in p) <= 1
 
 
+def test_raking_goes_on_until_the_margins_agree(spark, monkeypatch):
+    """Sources that nearly determine languages: eight sweeps would leave a margin percents off; both ways of summing agree."""
+    cells = [(f"s{s}", f"l{la}", f"t{t}", (990 if s % 4 == la else 3) * (s + 1) ** 2 + t) for s in range(6) for la in range(4) for t in range(3)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    made = mixing.rake(df, 0.0)
+    off = mixing.marginals(made, 0.0).selectExpr("max(abs(share / target - 1)) as off").first().off
+    assert off < 1e-8
+    short = mixing.marginals(mixing.rake(df, 0.0, most=8), 0.0).selectExpr("max(abs(share / target - 1)) as off").first().off
+    assert short > 0.02
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    monkeypatch.setattr(mixing, "ROUND", 2)
+    with pytest.warns(UserWarning, match="can't all be met"):
+        summed = mixing.rake(df, 0.0, most=4)
+    monkeypatch.setattr(mixing, "CELLS", 20_000)
+    with pytest.warns(UserWarning):
+        want = mixing.rake(df, 0.0, most=4)
+    key = lambda d: sorted((r.source, r.lang, r.topic, round(r.weight, 6)) for r in d.collect())
+    assert key(summed) == key(want)
+
+
 def test_clipping_meets_the_rate(spark):
     """Cells that would be drawn more than once are kept whole, the others make up the rest; many cells are joined by shuffles."""
     cells = [(str(i), "x", "p", 10, w) for i, w in enumerate((1.0, 2.0, 5.0, 30.0, 200.0, 0.0))]
@@ -438,6 +474,7 @@ def test_clipping_meets_the_rate(spark):
 
 
 def test_many_cells(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUND", 2)
     want = rows(mixing.mix(docs), "doc_id", "p", "kept")
     monkeypatch.setattr(mixing, "CELLS", 0)
     assert [(d, round(p, 9), k) for d, p, k in rows(mixing.mix(docs), "doc_id", "p", "kept")] == [(d, round(p, 9), k) for d, p, k in want]
