@@ -215,3 +215,100 @@ def test_streaming_ingest_and_replay(spark, store, tmp_path):
     store.upsert_strings([("k0", "replayed")])
     assert store.flush(batch=("s", 0)).version == version
     assert ("k0", "0") in pairs(store.strings())
+
+
+class Crash(Exception):
+    pass
+
+
+def crash(*_, **__):
+    raise Crash
+
+
+@pytest.mark.parametrize("step", ["files", "manifest", "rename", "unstage"])
+def test_crash_while_flushing(spark, store, tmp_path, monkeypatch, step):
+    """Whatever step a writer dies at, a reader sees the whole flush or nothing of it, and the next writer goes on."""
+    store.upsert_strings([("a", "1"), ("b", "1")])
+    store.flush()
+    store.upsert_strings([("a", "2"), ("c", "2")])
+    with monkeypatch.context() as m:
+        if step == "files":
+            m.setattr(store, "_describe", crash)  # the files are there, nothing names them
+        elif step == "manifest":
+            m.setattr(store.manifests, "publish", crash)
+        elif step == "rename":
+            m.setattr(store.manifests, "_context", type("Context", (), {"rename": crash}))  # the manifest has its temporary name
+        else:
+            m.setattr(store, "_unstage", crash)  # published, but the writer never hears of it
+        with pytest.raises(Crash):
+            store.flush()
+    again = Store(spark, str(tmp_path / "kv"))
+    old, new = [("a", "1"), ("b", "1")], [("a", "2"), ("b", "1"), ("c", "2")]
+    assert pairs(again.strings()) == (new if step == "unstage" else old)
+    again.upsert_strings([("a", "2"), ("c", "2")])
+    again.flush()
+    assert pairs(again.strings()) == new and pairs(Store(spark, str(tmp_path / "kv")).strings()) == new
+
+
+@pytest.mark.parametrize("step", ["files", "manifest", "rename"])
+def test_crash_while_compacting(spark, store, tmp_path, monkeypatch, step):
+    for i in range(3):
+        store.upsert_strings([("a", str(i)), (f"b{i}", str(i)), (f"b{i - 1}", None)])
+        store.flush()
+    before = pairs(store.strings())
+    with monkeypatch.context() as m:
+        if step == "files":
+            m.setattr(store, "_describe", crash)
+        elif step == "manifest":
+            m.setattr(store.manifests, "publish", crash)
+        else:
+            m.setattr(store.manifests, "_context", type("Context", (), {"rename": crash}))
+        with pytest.raises(Crash):
+            store.compact()
+    again = Store(spark, str(tmp_path / "kv"))
+    assert pairs(again.strings()) == before == [("a", "2"), ("b2", "2")] and len(again.snapshot().manifest.generations) == 3
+    assert again.compact().compacted and pairs(again.strings()) == before
+
+
+def test_families_compression_and_bloom_filters(spark, tmp_path):
+    """Families of one root don't see each other; the options reach the files."""
+    from pyarrow import parquet
+
+    size = {}
+    for family, bloom, compression in (("x", True, "snappy"), ("y", False, "gzip")):
+        s = Store(spark, str(tmp_path / "kv"), family=family, bloom=bloom, compression=compression)
+        s.upsert_strings([(f"{i:0300d}", family) for i in range(5000)])
+        s.flush()
+        assert {v for _, v in pairs(s.strings())} == {family} and pairs(s.strings(f"{7:0300d}", f"{8:0300d}")) == [(f"{7:0300d}", family)]
+        files = list((tmp_path / "kv" / family / "data").rglob("*.parquet"))
+        assert {parquet.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {compression.upper()}
+        part = parquet.ParquetFile(files[0]).metadata.row_group(0)
+        size[family] = files[0].stat().st_size - sum(part.column(i).total_compressed_size for i in range(part.num_columns))
+    assert size["x"] > size["y"] + 1000  # the filter lies beside the columns
+
+
+def test_compaction_with_staged_rows(store):
+    store.upsert_strings([("a", "1"), ("b", "1")])
+    store.flush()
+    store.upsert_strings([("a", None), ("c", "2")])
+    assert len(store.compact().generations) == 1 and pairs(store.snapshot().all()) == [(bytearray(b"a"), bytearray(b"1")), (bytearray(b"b"), bytearray(b"1"))]
+    made = store.compact(include_staged=True)
+    assert made.compacted and made.generations[0].n_rows == 2 and pairs(store.strings()) == [("b", "1"), ("c", "2")]
+
+
+def test_staged_rows_are_evaluated_once(spark, tmp_path):
+    """A source that differs each time it is read gives what it gave when it was staged; files follow the size of what is staged."""
+    s = Store(spark, str(tmp_path / "kv"), target_file_bytes=20_000)
+    s.upsert(spark.range(2000).select(encode(F.col("id").cast("string")).alias("key"), encode(F.uuid()).alias("value")))
+    before = pairs(s.strings())
+    s.flush()
+    assert pairs(s.strings()) == before
+    assert len(list((tmp_path / "kv" / "default" / "data").rglob("*.parquet"))) > 2 and not any((tmp_path / "kv" / "default" / "staged").iterdir())
+
+
+def test_another_order_of_keys(spark):
+    """A comparator is an expression: here numbers as numbers."""
+    entries = spark.createDataFrame([(str(i),) for i in (10, 9, 100, 1)], "key string")
+    read = lambda **o: [r.key for r in resolve.ordered(entries, **o).collect()]
+    assert read() == ["1", "10", "100", "9"]
+    assert read(by=F.col("key").cast("int")) == ["1", "9", "10", "100"] == read(by=F.col("key").cast("int"), descending=True)[::-1]
