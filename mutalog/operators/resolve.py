@@ -34,16 +34,16 @@ def latest_value(log: DataFrame, value: str = "value", order: str = "seq", key:
     return log.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def is_visible(now: datetime | None = None) -> Column:
-    """Not deleted and, at now, not expired; an entry that expires at now is dead. now None: nothing expires."""
+def is_visible(now: datetime | None = None, skip: Column | None = None) -> Column:
+    """Not deleted and, at now, not expired; an entry that expires at now is dead. now None: nothing expires. skip: hides what else it is true for."""
     alive = F.col("value").isNotNull()
-    if now is None:
-        return alive
-    return alive & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
+    if now is not None:
+        alive = alive & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
+    return alive if skip is None else alive & ~F.coalesce(skip, F.lit(False))
 
 
-def visible(state: DataFrame, now: datetime | None = None) -> DataFrame:
-    return state.where(is_visible(now))
+def visible(state: DataFrame, now: datetime | None = None, skip: Column | None = None) -> DataFrame:
+    return state.where(is_visible(now, skip))
 
 
 def half_open(low=None, high=None, key: str = "key") -> Column:
@@ -56,9 +56,9 @@ def half_open(low=None, high=None, key: str = "key") -> Column:
     return bound
 
 
-def scan(log: DataFrame, low=None, high=None, now: datetime | None = None) -> DataFrame:
-    """Visible entries with low <= key < high, in no order; see ordered()."""
-    return visible(latest(log.where(half_open(low, high))), now)
+def scan(log: DataFrame, low=None, high=None, now: datetime | None = None, skip: Column | None = None) -> DataFrame:
+    """Visible entries with low <= key < high, in no order; see ordered(). A skipped version still hides older ones."""
+    return visible(latest(log.where(half_open(low, high))), now, skip)
 
 
 def point_get(log: DataFrame, key, now: datetime | None = None) -> DataFrame:

@@ -222,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kv_ttl_all": _kv(lambda g: _pairs(resolve.scan(g, now=NOW))),
     "kv_ttl_range": _kv(lambda g: _pairs(resolve.scan(g, LOW, HIGH, NOW))),
     "kv_ttl_point_get": _kv(lambda g: _pairs(resolve.point_get(g, "k0000000011", NOW))),
+    "kv_skip": _kv(lambda g: _pairs(resolve.scan(g, now=NOW, skip=F.col("value") < 50))),
     "kv_snapshot_gen": _kv(_snapshot_gen),
     "kv_gen_merge": _kv(_gen_merge),
     "kv_compact_full": _kv(lambda g: compact.compact_full(g).select("key", "seq", "gen", "value")),
@@ -283,6 +284,7 @@ ORACLES: dict[str, str] = {
     "kv_ttl_all": _sql("select key, value from fresh"),
     "kv_ttl_range": _sql(f"select key, value from fresh where key >= '{LOW}' and key < '{HIGH}'"),
     "kv_ttl_point_get": _sql("select key, value from fresh where key = 'k0000000011'"),
+    "kv_skip": _sql("select key, value from fresh where not value < 50"),
     "kv_snapshot_gen": _sql("select key, value from live", " where floor(event_id / 1000) <= floor((select floor(max(event_id) / 1000) from events) / 2)"),
     "kv_gen_merge": _sql("select key, seq, gen, value from newest"),
     "kv_compact_full": _sql("select key, seq, gen, value from live"),
