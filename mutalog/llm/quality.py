@@ -109,41 +109,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def _hot(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _cells(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The weight that each feature of each row takes, as an index: rows x features."""
     bins = np.stack([np.searchsorted(edges[j], x[:, j], side="right") for j in range(x.shape[1])], 1)
-    out = np.zeros((len(x), x.shape[1] * BINS), np.float32)
-    out[np.arange(len(x))[:, None], bins + np.arange(x.shape[1]) * BINS] = 1
-    return out
+    return bins + np.arange(x.shape[1]) * BINS
 
 
-def _minimised(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias with the least non-negative risk under the logistic loss, by Adam on all rows of p and u at once."""
-    w, b = np.zeros(p.shape[1], np.float32), 0.0
+def _minimised(p: np.ndarray, u: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias with the least non-negative risk under the logistic loss, by Adam on all rows of p and u (cells) at once."""
+    d = p.shape[1]
+    w, b = np.zeros(d * BINS), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     loss = lambda z: np.logaddexp(0, -z)
-    for t in range(1, STEPS + 1):
-        gp, gu = p @ w + b, u @ w + b
+    slopes = lambda cells, on: np.bincount(cells.ravel(), np.repeat(on, d), len(w))
+    for t in range(1, steps + 1):
+        gp, gu = w[p].sum(1) + b, w[u].sum(1) + b
         negative = loss(-gu).mean() - prior * loss(-gp).mean()
         # slopes of the losses by g
-        on_p = -prior * sigmoid(-gp) / len(p)
         sign = 1.0 if negative >= 0 else -1.0  # below zero: walk back up
-        if sign < 0:
-            on_p = np.zeros(len(p))
         on_u = sign * sigmoid(gu) / len(u)
-        on_p = on_p - sign * prior * sigmoid(gp) / len(p)
-        grad = np.append(p.T @ on_p.astype(np.float32) + u.T @ on_u.astype(np.float32) + DECAY * w / 10, on_p.sum() + on_u.sum())
+        on_p = -sign * prior * sigmoid(gp) / len(p)
+        if sign > 0:
+            on_p -= prior * sigmoid(-gp) / len(p)
+        grad = np.append(slopes(p, on_p) + slopes(u, on_u) + DECAY * w / 10, on_p.sum() + on_u.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+        w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The share of positives among the unlabelled rows: the least ratio of shares above a cut, on the rows that a first scorer hasn't seen."""
-    w, b = _minimised(p[::2], u[::2], 0.5)
-    gp, gu = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
+    w, b = _minimised(p[::2], u[::2], 0.5, STEPS // 3)
+    gp, gu = np.sort(w[p[1::2]].sum(1) + b), np.sort(w[u[1::2]].sum(1) + b)
     if not len(gp) or not len(gu):
         return 0.5
     cuts = np.unique(np.quantile(gp, np.linspace(0, 1 - ABOVE, 200)))
@@ -161,11 +161,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     # cuts lie where either tail is thin as well: junk is rare
     at = np.concatenate([[0.002, 0.01, 0.03], np.linspace(0.06, 0.94, BINS - 7), [0.97, 0.99, 0.998]])
     edges = np.quantile(both, at, axis=0).T.copy()
-    p, u = _hot(edges, positive), _hot(edges, unlabelled)
+    p, u = _cells(edges, positive), _cells(edges, unlabelled)
     prior = class_prior(p, u) if prior is None else prior
-    w, b = _minimised(p, u, prior)
-    cut = 1 / (1 + np.exp(-np.clip(np.quantile(p @ w + b, FEW), -30, 30)))
-    return Model(edges, w.reshape(d, BINS).astype(np.float64), b, prior, float(min(cut, THRESHOLD)))
+    w, b = _minimised(p, u, prior, STEPS)
+    cut = 1 / (1 + np.exp(-np.clip(np.quantile(w[p].sum(1) + b, FEW), -30, 30)))
+    return Model(edges, w.reshape(d, BINS), b, prior, float(min(cut, THRESHOLD)))
 
 
 def _sampled(ids: DataFrame, n: int, id_col: str) -> DataFrame:
