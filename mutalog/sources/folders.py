@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,25 @@ def fresh(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that written() has made in this process, oldest first.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there and any executor can read it."""
     path, schema = fresh(df.sparkSession), df.schema
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def last_one_kept(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that written() has made inside, but the last one: for a result that is written itself."""
+    mark = len(_MADE)
+    yield
+    jvm, gone = spark._jvm, _MADE[mark:-1]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    del _MADE[mark:-1]
