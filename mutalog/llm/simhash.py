@@ -98,7 +98,10 @@ def _bits(hashes: Iterable[np.ndarray], words64: int) -> bytes:
                 x ^= x >> np.uint64(29)
                 x *= np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
-            ones[w] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            bits = np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64)
+            k = len(bits) // 255 * 255  # so many rows can be summed in bytes
+            ones[w] += bits[:k].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+            ones[w] += bits[k:].sum(0, dtype=np.uint8)
     return np.packbits(2 * ones > n, axis=1).tobytes()
 
 
@@ -174,21 +177,22 @@ def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
     the other's branch, so a pair meets in one leaf of a tree.
     """
     blocks, vantages = _shape(radius, n)
-    made = None
-    for t, kept in enumerate(_kept_blocks(radius, blocks)):
-        # off: 0 at home, 1 in a neighbouring branch and still on that block, 2 further down
-        rows = points.select("fp", "w", F.xxhash64(F.lit("tree"), F.lit(t)).alias("leaf"), F.lit(0).alias("off"))
-        for level, (bits, width, first, last) in enumerate(_levels(kept, blocks, vantages)):
-            d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")).bitwiseAND(F.lit(bits).cast("long")))
-            rows = rows.withColumn("d", d)
-            branch = lambda by, off: F.struct((F.col("d") + by).alias("band"), F.lit(off).alias("off"))
-            here = F.array(F.struct(F.col("d").alias("band"), F.col("off").alias("off")))
-            aside = F.array(*(branch(by, 2 if last else 1) for by in (1, -1)))
-            to = F.when(F.col("off") == 0, F.concat(here, F.array(branch(1, 2 if last else 1)))).otherwise(here) if first else F.when(F.col("off") == 1, aside).otherwise(here)
-            rows = rows.withColumn("to", F.explode(to)).where(F.col("to.band").between(0, width))
-            rows = rows.select("fp", "w", F.xxhash64("leaf", F.col("to.band")).alias("leaf"), F.col("to.off").alias("off"))
-        made = rows if made is None else made.unionByName(rows)
-    return made.select("leaf", "fp", (F.col("off") == 0).alias("home"))
+    trees = [_levels(kept, blocks, vantages) for kept in _kept_blocks(radius, blocks)]
+    # off: 0 at home, 1 in a neighbouring branch and still on that block, 2 further down
+    rows = points.select("fp", "w", F.explode(F.sequence(F.lit(1), F.lit(len(trees)))).alias("tree")).select("*", F.xxhash64("tree").alias("leaf"), F.lit(0).alias("off"))
+    for level in range(len(trees[0])):
+        _, _, first, last = trees[0][level]
+        bits, width = (F.element_at(F.array(*(F.lit(t[level][k]).cast("long") for t in trees)), F.col("tree")) for k in (0, 1))
+        d = F.bit_count(F.col("w").bitwiseXOR(F.xxhash64(F.lit(f"vantage {level}"), "leaf")).bitwiseAND(bits))
+        branch = lambda by, off: F.struct((F.col("d") + by).alias("band"), F.lit(off).alias("off"))
+        here, next_ = F.struct(F.col("d").alias("band"), F.col("off").alias("off")), 2 if last else 1
+        if first:
+            to = F.when(F.col("off") == 0, F.array(here, branch(1, next_))).otherwise(F.array(here))
+        else:
+            to = F.when(F.col("off") == 1, F.array(branch(1, next_), branch(-1, next_))).otherwise(F.array(here))
+        rows = rows.withColumn("d", d).withColumn("to", F.explode(to)).where(F.col("to.band").between(F.lit(0), width))
+        rows = rows.select("fp", "w", "tree", F.xxhash64("leaf", F.col("to.band")).alias("leaf"), F.col("to.off").alias("off"))
+    return rows.select("leaf", "fp", (F.col("off") == 0).alias("home"))
 
 
 def _tree(points: DataFrame, radius: int) -> DataFrame:
@@ -436,7 +440,7 @@ def _alike(pdf: pd.DataFrame, id_col: str, text_col: str, shingle: int, least: f
     forest = _Forest(len(ids))
     for _, rows in pdf.groupby("group", sort=False):
         node = np.fromiter(map(at.__getitem__, rows[id_col]), np.int64, len(rows))
-        sets = [np.unique(shingles(t or "", shingle)) for t in rows[text_col]]
+        sets = [_distinct(shingles(t or "", shingle)) for t in rows[text_col]]
         side = rows["side"].to_numpy()
         home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(other):
@@ -502,6 +506,12 @@ def shingles(text: str, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different ones, ascending."""
+    hashes = np.sort(hashes)
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
+
+
 def _times(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """How often the shingles of each counter occur in all texts.
 
@@ -551,7 +561,7 @@ def near_prints(df: DataFrame, times: np.ndarray, least: float, id_col: str, tex
         for b in batches:
             fp, same, few, lead = [], [], [], []
             for t in b.column(text_col):
-                once = np.unique(shingles(t.as_py() or "", shingle))
+                once = _distinct(shingles(t.as_py() or "", shingle))
                 n = len(once)
                 fp.append(_bits((once[at : at + SHINGLES] for at in range(0, n, SHINGLES)), words64))
                 same.append(hashlib.blake2b(once.tobytes(), digest_size=16).digest())

@@ -155,3 +155,37 @@ def test_sharding(spark):
         assert sorted(queries.op8_sharding(spark, SF).collect(), key=lambda r: r.doc_id) == sorted(got, key=lambda r: r.doc_id)
     finally:
         queries._documents = read
+
+
+def test_pipeline(spark):
+    """Stage by stage against brute force on what the stage before has kept; run() gives what the last one gives."""
+    import corpus_pipeline
+    from mutalog.llm import quality
+    from mutalog.llm.shared import written
+    from tests.llm.test_edges import _norm, brute_alike
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, SF))
+        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert docs.count() == len(kept[name]) and (name == "encoding" or docs.columns == corpus_pipeline.COLUMNS)
+        had = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        if name == "quality":
+            model = quality.train(before, spark.read.parquet(f"{SF}/labels.parquet"))
+            x = np.array([quality.features(t or "") for t in had.values()])
+            assert kept[name] == {d for d, s in zip(had, model.score(x)) if s >= model.cut} and len(kept[name]) < len(had)
+        elif name == "exact_dedup":
+            least = {}
+            for d in sorted(had):
+                least.setdefault(_norm(had[d]), d)
+            assert kept[name] == set(least.values()) and len(kept[name]) < len(had)
+        elif name == "near_dedup":
+            assert kept[name] == set(brute_alike(list(had.items())).values()) and len(kept[name]) < len(had)
+        elif name == "mixing":
+            assert kept[name] < set(had) and 0.6 < len(kept[name]) / len(had) < 1
+        else:
+            ids = {d: vocabulary(default_path()).library.encode(t, add_special_tokens=False).ids for d, t in had.items()}
+            want = {(d, len(i), sha(",".join(map(str, i))), sha(had[d])) for d, i in ids.items()}
+            assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept["encoding"]
