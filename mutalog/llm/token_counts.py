@@ -28,8 +28,25 @@ from pyspark.sql import types as T
 from mutalog.llm.shared import apart, in_batches
 from mutalog.llm.tokens import default_path, vocabulary
 
-#: Pre-tokens whose counts a worker remembers; when full, it starts anew.
+#: Pre-tokens whose counts a worker remembers, and pairs of tokens; when full, it starts anew.
 REMEMBERED = 1_000_000
+#: Characters of the longest pre-token that is remembered.
+SHORT = 64
+
+
+class _Known(dict):
+    """Token counts of pre-tokens, worked out at the first look-up."""
+
+    def __init__(self, count):
+        self._count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self._count(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
+        return n
 
 
 class PrefixCounts:
@@ -38,11 +55,13 @@ class PrefixCounts:
         self._id, self._bytes, self._longest = v.id_of, v.bytes_of, v.longest
         self._fit: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self._known: dict[str, int] = {}
+        self._known = _Known(lambda piece: self.table(piece.encode())[-1])
 
     def _fits(self, a: int, b: int) -> bool:
         found = self._fit.get((a, b))
         if found is None:
+            if len(self._fit) >= REMEMBERED:
+                self._fit.clear()
             found = self._fit[a, b] = self.vocabulary.merge(self._bytes[a] + self._bytes[b]) == [a, b]
         return found
 
@@ -68,16 +87,6 @@ class PrefixCounts:
                 raise ValueError(f"no token ends at byte {i} of {word[:80]!r}")
         return count
 
-    def _count(self, piece: str) -> int:
-        n = self._known.get(piece)
-        if n is None:
-            n = self.table(piece.encode())[-1]
-            if len(piece) <= 64:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[piece] = n
-        return n
-
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of the text and whether each is a special string."""
         at = 0
@@ -90,14 +99,12 @@ class PrefixCounts:
 
     def total(self, text: str) -> int:
         """Tokens of the whole text: the last entry of its table, from the tables of its pre-tokens."""
-        known, n = self._known, 0
+        n = 0
         for part, special in self._segments(text):
             if special:
                 n += 1
                 continue
-            for piece in self.vocabulary.split(part):
-                k = known.get(piece)
-                n += self._count(piece) if k is None else k
+            n += sum(map(self._known.__getitem__, self.vocabulary.split(part)))
         return n
 
     def prefixes(self, text: str) -> np.ndarray:
