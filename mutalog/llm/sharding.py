@@ -53,7 +53,7 @@ def place(row: Column, total: Column, shards: int, seed: int = 0) -> Column:
     return F.transform(F.array(p), lambda x: F.struct(F.pmod(x, F.lit(shards)).cast("int").alias("shard"), F.floor(x / shards).cast("long").alias("slot")))[0]
 
 
-def numbered(df: DataFrame, keys: list[str], ties: list[str], buckets: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], ties: list[str], buckets: int = 16_384) -> DataFrame:
     """df (without columns __bucket, __n, __before) with __row, gapless from 0 over the whole table, and __total.
 
     Rows go to buckets by a hash of keys and are ordered in their bucket by keys
