@@ -189,3 +189,20 @@ def test_pipeline(spark):
             want = {(d, len(i), sha(",".join(map(str, i))), sha(had[d])) for d, i in ids.items()}
             assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()} == want
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept["encoding"]
+
+
+def test_mixing_meets_its_targets(spark):
+    """The raked weights of the query's cells have the target shares of each margin; expected tokens are the rate of all."""
+    from mutalog.llm import mixing
+
+    rows = mixing.with_probabilities(spark.read.parquet(f"{SF}/documents.parquet")).select(*mixing.MARGINS, "n_tokens", "weight", "p").collect()
+    cells = {tuple(r)[:3]: r.weight for r in rows}
+    total = sum(r.n_tokens for r in rows)
+    for i, m in enumerate(mixing.MARGINS):
+        tokens = Counter()
+        for r in rows:
+            tokens[r[m]] += r.n_tokens
+        whole = sum(n**0.7 for n in tokens.values())
+        for k, n in tokens.items():
+            assert sum(w for c, w in cells.items() if c[i] == k) / total == pytest.approx(n**0.7 / whole, rel=1e-8)
+    assert sum(r.p * r.n_tokens for r in rows) == pytest.approx(total / 2, rel=1e-6)
