@@ -16,7 +16,7 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mutalog.functions.codec import as_strings, encode, prefix_bounds
@@ -94,11 +94,11 @@ class Store:
         seq = F.lit(0) if order is None else order
         rows = rows.select(F.col("key").cast("binary"), F.col("value").cast("binary"), seq.cast("long").alias("seq"), F.lit(0).cast("long").alias("gen"), "expires_at")
         path = f"{self.root}/staged/{uuid.uuid4().hex}"
-        rows.write.options(**self.options).parquet(path)
-        rows = self.spark.read.schema(MUTATION).parquet(path)
-        self._staged.append(rows)
+        size = Observation()
+        rows.observe(size, F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes")).write.options(**self.options).parquet(path)
+        self._staged.append(self.spark.read.schema(MUTATION).parquet(path))
         self._staged_paths.append(path)
-        self._staged_bytes += rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
+        self._staged_bytes += size.get["bytes"] or 0
         if self.flush_threshold_bytes is not None and self._staged_bytes > self.flush_threshold_bytes:
             self.flush()
 
