@@ -20,8 +20,12 @@ neighbouring branches, and nowhere else. The number of blocks and of vantages
 per block follows from the number of fingerprints. Leaves compare whole
 fingerprints.
 
-near_dedup() uses longer fingerprints with a wide radius, for which no tree
-prunes. It takes as leaves the rare shingles that lead each text instead.
+near_dedup() uses longer fingerprints with a wide radius, for which the bounds of
+no tree prune. Its forest is of the same trees, each over a few bits of one word:
+an alike pair differs by one bit at most in what a tree measures with known odds,
+and there are so many trees that few pairs part in all of them (wide_forest()).
+Those few come from the rare shingles that lead each text, an exact way for what
+the trees have left apart.
 
 Defined results: a null text is an empty one, fingerprint zero; rows without an
 id take part, and a component without any id has none; repeated rows share all;
@@ -35,6 +39,7 @@ import functools
 import hashlib
 import itertools
 import math
+import random
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,6 +59,10 @@ HOMES, VISITORS = 24_576, 131_072
 BAND = 2
 #: Widest radius that gets a forest; most trees of one.
 NARROW, TREES = 6, 128
+#: Share of alike pairs that all trees of a wide forest together may leave apart.
+MISS = 0.01
+#: Comparisons within a wide radius that moving a fingerprint into another leaf counts as: few, so that leaves stay small and are not cut into blocks.
+MOVED = 400
 #: Leaves that are less than a unit are dealt out together, about so many fingerprints to a task's group.
 GROUP = 50_000
 #: Leaves of at most so many rows are compared all at once.
@@ -116,9 +125,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return in_batches(df.select(id_col, text_col), run, schema)
 
 
-def _as_long(fp: Column) -> Column:
-    """The first 64 bits as a long."""
-    half = lambda a: F.conv(F.substring(F.hex(fp), a, 8), 16, 10).cast("long")
+def _as_long(fp: Column, word: int = 0) -> Column:
+    """The first 64 bits, or those of a later word, as a long."""
+    half = lambda a: F.conv(F.substring(F.hex(fp), 16 * word + a, 8), 16, 10).cast("long")
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
@@ -161,10 +170,56 @@ def _levels(kept: tuple[int, ...], blocks: int, vantages: int) -> list[tuple[int
     for k in kept:
         low, high = 64 * k // blocks, 64 * (k + 1) // blocks
         bits = (1 << high) - (1 << low)
-        out += [(bits - (1 << 64) if bits >> 63 else bits, high - low, v == 0, v == vantages - 1) for v in range(vantages)]
+        out += [(_signed(bits), high - low, v == 0, v == vantages - 1) for v in range(vantages)]
     return out
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _wide_shape(apart: float, n: int) -> tuple[int, int, int, int]:
+    """Blocks of bits, bits of a block, vantages per block and trees that cost least for n fingerprints (see _shape()).
+
+    apart: odds that a bit differs in a pair that must meet: in one tree, if one bit at most differs in all that it measures.
+    """
+
+    def trees(bits: int) -> int:
+        meet = (1 - apart) ** bits + bits * apart * (1 - apart) ** (bits - 1)
+        return max(1, math.ceil(math.log(MISS) / math.log1p(-meet))) if meet < 1 else 1
+
+    def chance(width: int, v: int, odd: int) -> float:
+        """That two random blocks have the distances to all vantages that put one in the branch of the other (odd: in a certain neighbouring one)."""
+        return sum(math.comb(width, j) / 2**width * (math.comb(j, (j + odd) // 2) / 2**j) ** v for j in range(odd, width + 1, 2))
+
+    def cost(shape: tuple[int, int, int, int]) -> float:
+        m, width, v, many = shape
+        here, beside, visits = chance(width, v, 0), chance(width, v, 1), m * 2 ** (v - 1)
+        return many * ((1 + visits) * MOVED + n * here ** (m - 1) * (here + visits * beside))
+
+    shapes = [(m, width, v, trees(m * width)) for m in range(1, 8) for width in range(3, 9) for v in range(1, 5)]
+    return min((x for x in shapes if x[3] <= TREES), key=cost)
+
+
+def _wide_trees(words64: int, blocks: int, width: int, vantages: int, many: int) -> list[tuple[int, list[tuple[int, int, bool, bool]]]]:
+    """The word that each tree measures and its levels: bits are dealt out at random, and none twice before all bits of a word have been."""
+    out, room = [], 64 // (blocks * width)
+    for t in range(many):
+        word, turn = t % words64, t // words64
+        order = random.Random(f"{word} {turn // room}").sample(range(64), 64)[turn % room * blocks * width :]
+        bits = [sum(1 << b for b in order[k * width : (k + 1) * width]) for k in range(blocks)]
+        out.append((word, [(_signed(x), width, v == 0, v == vantages - 1) for x in bits for v in range(vantages)]))
+    return out
+
+
+def wide_forest(points: DataFrame, n: int, words64: int, least: float) -> tuple[DataFrame, int]:
+    """points (n different fp) as (leaf, fp, home), and about how many rows: trees in which all but MISS of the pairs meet that are alike in least of their elements."""
+    blocks, width, vantages, many = _wide_shape(math.acos(min(1.0, 2 * least / (1 + least))) / math.pi, n)
+    trees = _wide_trees(words64, blocks, width, vantages, many)
+    words = points.select("fp", F.array(*(_as_long(F.col("fp"), w) for w in range(words64))).alias("w"))
+    return _grown(words, [levels for _, levels in trees], [word for word, _ in trees]), n * many * (1 + blocks * 2 ** (vantages - 1))
+
+
 def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
     """points (fp, w) as (leaf, fp, home): the leaf of each tree where it lives, and those that it visits.
 
@@ -177,9 +232,15 @@ def _forest(points: DataFrame, radius: int, n: int) -> DataFrame:
     the other's branch, so a pair meets in one leaf of a tree.
     """
     blocks, vantages = _shape(radius, n)
-    trees = [_levels(kept, blocks, vantages) for kept in _kept_blocks(radius, blocks)]
+    return _grown(points, [_levels(kept, blocks, vantages) for kept in _kept_blocks(radius, blocks)])
+
+
+def _grown(points: DataFrame, trees: list[list[tuple[int, int, bool, bool]]], words: list[int] | None = None) -> DataFrame:
+    """points (fp, w) in the leaves of trees, given by their levels; words: the element of w that each tree measures, if w is an array."""
     # off: 0 at home, 1 in a neighbouring branch and still on that block, 2 further down
     rows = points.select("fp", "w", F.explode(F.sequence(F.lit(1), F.lit(len(trees)))).alias("tree")).select("*", F.xxhash64("tree").alias("leaf"), F.lit(0).alias("off"))
+    if words:
+        rows = rows.withColumn("w", F.element_at("w", F.element_at(F.array(*(F.lit(w + 1) for w in words)), F.col("tree"))))
     for level in range(len(trees[0])):
         _, _, first, last = trees[0][level]
         bits, width = (F.element_at(F.array(*(F.lit(t[level][k]).cast("long") for t in trees)), F.col("tree")) for k in (0, 1))
@@ -320,12 +381,13 @@ def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
     return pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[i] for i in forest.label[linked].tolist()]})
 
 
-def links(points: DataFrame, radius: int, first: int | None = None, leaves: DataFrame | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int, first: int | None = None, leaves: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fp at most radius bits apart.
 
     points: distinct fp. first: bits that the first 64 may differ, if the
     fingerprints are longer; the trees look at these alone. leaves (leaf, fp,
-    home; written): what to compare instead of the leaves of trees.
+    home): what to compare instead of the leaves of these trees; many: about how
+    many rows, else they are counted.
     """
     first = radius if first is None else first
     if leaves is None:
@@ -338,10 +400,10 @@ def links(points: DataFrame, radius: int, first: int | None = None, leaves: Data
         else:
             many, rows = 2 * n, _tree(points, first)
     else:
-        many, rows = leaves.count(), leaves
+        many, rows = leaves.count() if many is None else many, leaves
     sizes = rows.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
-    sizes = written(sizes.where(F.col("all") > HOMES))
-    # the leaves below HOMES share units
+    sizes = written(sizes.where((F.col("homes") > HOMES) | (F.col("all") > VISITORS)))
+    # the leaves that are a block at most share units
     units = max(1, math.ceil(many / GROUP))
     apiece = [F.lit(-1).cast("long").alias(c) for c in ("h", "v")]
     small = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(F.pmod("leaf", F.lit(units)).alias("unit"), *apiece, "leaf", "fp", F.when(F.col("home"), 0).otherwise(1).alias("side"))
@@ -403,7 +465,7 @@ def _components_of(prints: DataFrame, id_col: str, linked) -> DataFrame:
 PIPELINE = {"shingle": 5, "words64": 4, "radius": 68, "first": 26}
 #: Least similarity of near-duplicates: shingles in both texts over shingles in either.
 ALIKE = 0.8
-#: Texts of at most so many different shingles are compared wherever they share a rare one: their bits are even too often, and vary too much.
+#: Texts of at most so many different shingles are compared also wherever they share a rare one: their bits vary too much.
 SHORT = 40
 #: Counters of shingles, which share them by their low bits, and how many one row holds.
 COUNTERS, SLICE_OF = 1 << 19, 1 << 11
@@ -547,6 +609,7 @@ def _times(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 def near_prints(df: DataFrame, times: np.ndarray, least: float, id_col: str, text_col: str, shingle: int, words64: int) -> DataFrame:
     """id, fp (of the different shingles), n_bytes, same, few and lead of each row.
 
+    fp: of an even number of shingles without the one of the least hash, so that no bit is even.
     same: a 128-bit digest of the set of shingles. few: all shingles of a text so short that it or one alike has at most SHORT,
     else null. lead: of a longer text's n shingles the first n - ceil(least * n) + 1
     in one order for all texts, by how often the shingle's counter was met: two
@@ -563,7 +626,8 @@ def near_prints(df: DataFrame, times: np.ndarray, least: float, id_col: str, tex
             for t in b.column(text_col):
                 once = _distinct(shingles(t.as_py() or "", shingle))
                 n = len(once)
-                fp.append(_bits((once[at : at + SHINGLES] for at in range(0, n, SHINGLES)), words64))
+                odd = once[1:] if n % 2 == 0 else once
+                fp.append(_bits((odd[at : at + SHINGLES] for at in range(0, len(odd), SHINGLES)), words64))
                 same.append(hashlib.blake2b(once.tobytes(), digest_size=16).digest())
                 few.append(once.view(np.int64) if n <= most else None)
                 order = np.argsort(times[(once & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
@@ -574,13 +638,32 @@ def near_prints(df: DataFrame, times: np.ndarray, least: float, id_col: str, tex
     return in_batches(df.select(id_col, text_col, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")), run, schema)
 
 
-def lead_leaves(prints: DataFrame) -> DataFrame:
-    """(leaf, fp, home): a leaf for each shingle that leads texts of several fingerprints."""
+def lead_leaves(prints: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leaf, fp, home): a leaf for each shingle that leads texts of several components of fingerprints.
+
+    labels: node, label of the fp that are linked already (see components()).
+    """
     rows = prints.select(F.xxhash64("fp").alias("w"), F.explode("lead").alias("leaf"))
     shared = written(rows.groupBy("leaf").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a < b").select("leaf"))
     rows = rows.join(shared, "leaf", "left_semi").distinct()
-    fps = prints.select(F.xxhash64("fp").alias("w"), "fp").distinct()
-    return rows.join(fps, "w").select("leaf", "fp", F.lit(True).alias("home"))
+    fps = prints.select("fp").distinct().join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    fps = fps.select(F.xxhash64("fp").alias("w"), "fp", F.xxhash64(F.coalesce("label", "fp")).alias("c"))
+    rows = written(rows.join(written(fps), "w").select("leaf", "fp", "c"))
+    parted = written(rows.groupBy("leaf").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("leaf"))
+    return rows.join(parted, "leaf", "left_semi").select("leaf", "fp", F.lit(True).alias("home"))
+
+
+def near_links(points: DataFrame, prints: DataFrame, least: float, radius: int, first: int, words64: int) -> DataFrame:
+    """Links (a, b) of fp at most radius bits apart, of texts that may be alike in least of their shingles.
+
+    They come from the leaves of the trees that points are placed in; of what
+    these leave apart, from leading shingles that lead texts of several
+    components so far.
+    """
+    leaves, many = wide_forest(points, points.count(), words64, least)
+    found = written(links(points, radius, first, leaves, many))
+    rest = written(lead_leaves(prints.where("lead is not null"), components(found)))
+    return found.unionByName(links(points, radius, first, rest))
 
 
 def short_groups(prints: DataFrame, least: float, id_col: str = "doc_id") -> DataFrame:
@@ -602,9 +685,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """df with one row of each group of near-duplicates: the one with the least id. Rows without an id stay.
 
     Texts with one set of shingles are copies, linked to the least id of them,
-    which alone goes on. Candidates share a leading shingle (no pair alike in
-    least misses that) and, if they are long, have fingerprints within the
-    radius. In each group of candidates the texts are compared. Links are
+    which alone goes on. Candidates have fingerprints within the radius that meet
+    in a leaf of the trees, or, for pairs that all trees leave apart, in that of a
+    leading shingle (no pair alike in least misses that). Short texts, of which
+    fingerprints vary too much, are candidates also if they share a rare shingle.
+    In each group of candidates the texts are compared. Links are
     transitive, by texts whose similarity is least or more; rows that repeat an
     id are one document. Texts without words are copies of each other.
     """
@@ -615,9 +700,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     tops = written(named_.groupBy("same").agg(F.min(id_col).alias("top")))
     copies = written(named_.select(id_col, "same").join(tops, "same").where(F.col(id_col) != F.col("top")).select(id_col, "same", "top").distinct())
     first_ones = lambda *c: named_.select(id_col, "same", *c).join(copies.select(id_col, "same"), [id_col, "same"], "left_anti")
-    long = prints.where("lead is not null")
-    leaves = written(lead_leaves(long))
-    groups = _components_of(long, id_col, lambda points: links(points, options["radius"], options["first"], leaves))
+    groups = _components_of(prints, id_col, lambda points: near_links(points, prints, least, options["radius"], options["first"], options["words64"]))
     proposed = first_ones("fp", "n_bytes").join(groups, "fp").select(id_col, F.concat(F.lit("f"), F.col("component_id").cast("string")).alias("component_id"), "n_bytes")
     proposed = proposed.unionByName(short_groups(first_ones("n_bytes", "few").where("few is not null"), least, id_col))
     edges = copies.select(F.col(id_col).alias("a"), F.col("top").alias("b")).unionByName(alike(df, proposed, id_col, text_col, shingle, least))

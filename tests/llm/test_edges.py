@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and columns that clash."""
 
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -565,3 +567,55 @@ def test_ann_copies_and_blocks(spark):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     want = {(q, j) for q in range(0, 400, 20) for j in [j for j in np.lexsort((np.arange(400), d[q])) if j != q][:5]}
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(want) and len(got) == len(want)
+
+
+def test_wide_forests_leave_few_pairs_apart(spark):
+    """Pairs that differ like texts alike in 0.8 meet in some tree, most others in none; more fingerprints get trees that prune more."""
+    rnd = random.Random(21)
+    apart = math.acos(1.6 / 1.8) / math.pi
+    x = [rnd.getrandbits(256) for _ in range(400)]
+    pairs = [(a, a ^ sum(1 << b for b in range(256) if rnd.random() < apart)) for a in x]
+    points = spark.createDataFrame([(bytearray(p.to_bytes(32, "big")),) for pair in pairs for p in pair], "fp binary")
+    chance = []
+    for n in (10**3, 2 * 10**5, 10**8):
+        leaves, many = simhash.wide_forest(points, n, 4, 0.8)
+        lives, visits, total = {}, {}, 0
+        for r in leaves.collect():
+            (lives if r.home else visits).setdefault(int.from_bytes(r.fp, "big"), set()).add(r.leaf)
+            total += 1
+        assert total <= many * len(points.collect()) / n
+        meet = lambda a, b: bool(lives[a] & (lives[b] | visits.get(b, set())) or lives[b] & visits.get(a, set()))  # noqa: E731, B023
+        assert sum(meet(a, b) for a, b in pairs) >= 0.97 * len(pairs)
+        chance.append(sum(meet(a, b) for a, b in itertools.combinations(x[:150], 2)) / 11_175)
+    assert chance[0] > chance[1] > chance[2] and chance[2] < 0.02
+    many = simhash._wide_shape(apart, 10**10)[3]
+    assert many <= simhash.TREES and len(simhash._wide_trees(4, *simhash._wide_shape(apart, 10**10))) == many
+
+
+def test_near_dedup_goes_through_the_trees(spark, monkeypatch):
+    """Without the exact ways for the rest, the trees alone find nearly all near copies; with them, leading shingles see only what the trees left apart."""
+    rnd = random.Random(22)
+    word = lambda: rnd.choice(WORDS) + str(rnd.randrange(9999))
+    data = []
+    for _ in range(200):
+        base = [word() for _ in range(250)]
+        copy = list(base)
+        for i in rnd.sample(range(250), 4):
+            copy[i] = word()
+        data += [(len(data), " ".join(base)), (len(data) + 1, " ".join(copy))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole, seen = simhash.lead_leaves, []
+
+    def counted(*args):
+        made = whole(*args)
+        seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "lead_leaves", counted)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == [2 * i for i in range(200)]
+    rows_ = simhash.near_prints(df, simhash._times(df, "text", 5), 0.8, "doc_id", "text", 5, 4)
+    assert seen[0] < rows_.selectExpr("sum(size(lead)) as n").first().n * 0.05
+    monkeypatch.setattr(simhash, "lead_leaves", lambda *args: spark.createDataFrame([], "leaf long, fp binary, home boolean"))
+    monkeypatch.setattr(simhash, "short_groups", lambda *args: spark.createDataFrame([], "doc_id long, component_id string, n_bytes long"))
+    kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    assert kept >= {2 * i for i in range(200)} and len(kept) <= 206
