@@ -134,6 +134,11 @@ def test_suffix_dedup(spark):
     assert all(r.kept_text == whole[r.doc_id] for r in made if not r.removed)
 
 
+def test_suffix_dedup_columns(spark):
+    """The columns of the contract come first and in its order; others follow."""
+    assert QUERIES["op7_suffix_dedup"](spark, SMALL).columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def test_sharding(spark):
     rows = dict(table("documents", SF, "doc_id, text"))
     got = QUERIES["op8_sharding"](spark, SF).collect()
