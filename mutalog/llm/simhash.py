@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mutalog.llm.bpe import SLICE, _powers
-from mutalog.llm.shared import in_batches, text_of, unused, written
+from mutalog.llm.shared import give_back, in_batches, text_of, unused, written
 
 #: What lives in a leaf and what visits it are dealt out in blocks of at most about so many fingerprints; each block meets each.
 HOMES, VISITORS = 24_576, 131_072
@@ -68,7 +68,7 @@ GROUP = 50_000
 #: Leaves of at most so many rows are compared all at once.
 FEW = 48
 #: Pairs that a task holds at once before it unites them.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 16
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -270,9 +270,9 @@ def _tree(points: DataFrame, radius: int) -> DataFrame:
     return rows.select("leaf", "fp", (F.col("leaf") == F.col("own")).alias("home"))
 
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of a and b at most radius bits apart; their first words at most first bits apart."""
-    left, right, width = [], [], max(1, min(4096, len(b)))
+def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b at most radius bits apart, their first words at most first bits apart: those of 4,096 rows of b at a time."""
+    width = max(1, min(4096, len(b)))
     differ, bits, near = (np.empty((len(a), width), t) for t in (np.uint64, np.uint8, bool))
     x0, b0 = np.ascontiguousarray(a[:, 0])[:, None], np.ascontiguousarray(b[:, 0])
     for j in range(0, len(b), width):
@@ -282,16 +282,12 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.nd
         np.bitwise_count(differ[:, :n], out=bits[:, :n])
         np.less_equal(bits[:, :n], first, out=near[:, :n])
         at = np.flatnonzero(near[:, :n])
-        if len(at):
-            left.append(at // n)
-            right.append(at % n + j)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y = np.concatenate(left), np.concatenate(right)
-    if a.shape[1] > 1:
-        keep = np.concatenate([np.bitwise_count(a[x[k : k + 65536]] ^ b[y[k : k + 65536]]).sum(1, dtype=np.int64) <= radius for k in range(0, len(x), 65536)])
-        x, y = x[keep], y[keep]
-    return x, y
+        for k in range(0, len(at), 65536):
+            x, y = at[k : k + 65536] // n, at[k : k + 65536] % n + j
+            if a.shape[1] > 1:
+                keep = np.bitwise_count(a[x] ^ b[y]).sum(1, dtype=np.int64) <= radius
+                x, y = x[keep], y[keep]
+            yield x, y
 
 
 class _Forest:
@@ -344,6 +340,8 @@ def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
         nonlocal left, right, held
+        new = forest.label[x] != forest.label[y]  # a group of copies is one component long before its last pair
+        x, y = x[new], y[new]
         left.append(x)
         right.append(y)
         held += len(x)
@@ -371,13 +369,13 @@ def _compare(pdf: pd.DataFrame, radius: int, first: int) -> pd.DataFrame:
         split = a + int(np.searchsorted(side[a : a + n], 1))
         homes, others = node[a:split], node[a : a + n] if whole else node[split : a + n]
         there = words[others]
-        step = max(16, min(128, PAIRS // max(len(others), 1)))
-        for i in range(0, len(homes), step):
-            x, y = _close(words[homes[i : i + step]], there, radius, first)
-            keep(homes[i + x], others[y])
+        for i in range(0, len(homes), 128):
+            for x, y in _close(words[homes[i : i + 128]], there, radius, first):
+                keep(homes[i + x], others[y])
     if held:
         forest.unite(np.concatenate(left), np.concatenate(right))
     linked = np.flatnonzero(forest.label != np.arange(len(fps))).tolist()
+    give_back()
     return pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[i] for i in forest.label[linked].tolist()]})
 
 
@@ -510,10 +508,13 @@ def _alike(pdf: pd.DataFrame, id_col: str, text_col: str, shingle: int, least: f
         a = [sets[i] for i in home]
         b = a if other is home else [sets[i] for i in other]
         size = np.array([len(x) for x in sets])
-        both, whole = _shared(a, b).astype(np.float64), size[home][:, None] + size[other][None, :]
-        x, y = np.nonzero(both * (1 + least) + 1e-9 >= least * whole)  # both / (whole - both) >= least; two empty texts are alike
-        forest.unite(node[home[x]], node[other[y]])
+        both = _shared(a, b)
+        for i in range(0, len(home), 64):
+            whole = size[home[i : i + 64]][:, None] + size[other][None, :]
+            x, y = np.nonzero(both[i : i + 64].astype(np.float64) * (1 + least) + 1e-9 >= least * whole)  # both / (whole - both) >= least; two empty texts are alike
+            forest.unite(node[home[i + x]], node[other[y]])
     linked = np.flatnonzero(forest.label != np.arange(len(ids))).tolist()
+    give_back()
     return pd.DataFrame({"a": [ids[i] for i in linked], "b": [ids[i] for i in forest.label[linked].tolist()]})
 
 
@@ -557,7 +558,7 @@ def shingles(text: str, k: int) -> np.ndarray:
     while i < len(stops):  # slices of bounded bytes
         j = max(i + 1, int(np.searchsorted(stops, starts[i] + SLICE, "right")))
         part = raw[starts[i] : stops[j - 1]]
-        up, down = _powers() if len(part) <= SLICE else _powers(1 << len(part).bit_length())
+        up, down = _powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[: len(part)], dtype=np.uint64, out=total[1:])
         a, z = starts[i:j] - starts[i], stops[i:j] - starts[i]

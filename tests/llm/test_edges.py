@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -619,3 +621,45 @@ def test_near_dedup_goes_through_the_trees(spark, monkeypatch):
     monkeypatch.setattr(simhash, "short_groups", lambda *args: spark.createDataFrame([], "doc_id long, component_id string, n_bytes long"))
     kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
     assert kept >= {2 * i for i in range(200)} and len(kept) <= 206
+
+
+def _peak(f):
+    """What f() returns, and the bytes that Python and NumPy held for it at most."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_leaf_of_near_copies_in_little_memory():
+    """All pairs of a leaf are near: they are not held, but united as they come."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 32, dtype=np.uint8)
+    noise = np.packbits(rng.random((3000, 256)) < 0.02, axis=1)
+    fps = [x.tobytes() for x in base ^ noise]
+    pdf = pd.DataFrame({"leaf": 1, "side": 0, "h": -1, "fp": fps})
+    made, most = _peak(lambda: simhash._compare(pdf, 68, 26))
+    assert len(made) == len(set(fps)) - 1 and made["b"].nunique() == 1
+    assert most < 64 << 20
+
+
+def test_a_block_of_near_copies_in_little_memory():
+    """Nor are all pairs of a block of alike texts, of which the matrix of common shingles is the largest that is left."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words, f"x{i}"]) for i in range(2000)]
+    pdf = pd.DataFrame({"group": "g", "side": 0, "doc_id": range(2000), "text": texts})
+    made, most = _peak(lambda: simhash._alike(pdf, "doc_id", "text", 5, simhash.ALIKE))
+    assert len(made) == 1999 and set(made["b"]) == {0}
+    assert most < 112 << 20
+
+
+def test_powers_follow_the_longest_text():
+    """Short texts need no tables of a whole slice, and shingles are the same with any tables."""
+    bpe._TABLES.clear()
+    text = " ".join(WORDS)
+    before = simhash.shingles(text, 5)
+    assert len(bpe._TABLES[0]) == 1 << 16
+    cuts = bpe.cuts(LONG.encode())
+    assert len(bpe._powers()[0]) == bpe.SLICE + bpe.WINDOW + 1
+    assert (simhash.shingles(text, 5) == before).all() and bpe.cuts(LONG.encode()) == cuts
